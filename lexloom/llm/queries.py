@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 
 from lexloom.llm import simjoin
 from lexloom.llm.components import components
+from lexloom.llm.contamination import leaked_spans
+from lexloom.llm.encode import encode_corpus
 from lexloom.llm.forms import transducer
 from lexloom.llm.questions import HELD_OUT, TRAIN, document_of, group_splits, split_name
+from lexloom.llm.repeats import shared_spans
+from lexloom.llm.segment import oversized
 from lexloom.llm.stratify import grouped_split
 from lexloom.runtime import materialize, ship, table
 
@@ -52,6 +56,27 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return m.join(cls, "cid", "left").select(F.col("key").alias("qid"), "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+# 3: oversized values
+
+
+def _oversized(spark, d, texts: bool) -> DataFrame:
+    docs = table(spark, d, "documents")
+    out = oversized(table(spark, d, "chunks"), "chunks.text", "chunk_id", "text", texts=texts)
+    for c in ("holding", "summary"):
+        out = out.unionByName(oversized(docs, f"documents.{c}", "doc_id", c, texts=texts))
+    return out
+
+
+def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces of at most 1,000 characters of all longer values, in order; values delivered twice count once."""
+    return _oversized(spark, d, True).distinct()
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """The values that had to be cut."""
+    return _oversized(spark, d, False).where("piece = 2").select("field", "row_key").distinct()
+
+
 # 4: consistent form
 
 
@@ -188,4 +213,44 @@ def p6_assign(spark: SparkSession, d: str) -> DataFrame:
     return groups.join(placed, "component").select("group_id", "split", "n_rows")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_forms, p5_found, p5_overlaps, p5_report, p6_found, p6_assign)}
+# 7: encoding
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Token ids of every document's text."""
+    return encode_corpus(table(spark, d, "documents"), "doc_id", "text")
+
+
+# 8: leaked test passages
+
+
+def p8_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Spans of each document, in its bare form, that stand in a test item, and so should be removed."""
+    return leaked_spans(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and the test items they contain."""
+    return p8_spans(spark, d).select("doc_id", "item_id").distinct()
+
+
+# 9: shared spans
+
+
+def p9_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Shared characters, number of shared spans and the longest, of each document that shares any."""
+    return shared_spans(table(spark, d, "documents"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Shared characters of each document that shares any."""
+    return p9_spans(spark, d).select("doc_id", "shared_chars")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p2_found, p2_groups, p3_found, p3_pieces, p4_found, p4_forms, p5_found, p5_overlaps, p5_report,
+        p6_found, p6_assign, p7_ids, p8_found, p8_spans, p9_found, p9_spans,
+    )
+}
