@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from lexloom.plans import packed
+from lexloom.plans import corpus, packed, pairs, retrieval, streams
+
+MODULES = (retrieval, pairs, corpus, streams)
 
 
 def queries() -> dict:
-    return {**packed.QUERIES}
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()} | packed.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: q for m in MODULES for k, q in m.SQL.items()}
