@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 
 # Blanks in the Unicode sense, the ideograph ranges, and box drawing.
 BLANK = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
-IDEOGRAPHS = "㐀-䶿一-鿿豈-﫿"
-BOX = "─-╿"
+IDEOGRAPHS = "\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+BOX = "\u2500-\u257f"
 ESCAPABLE = r"[\\`*_{}\[\]()#+\-.!|<>~]"
 IMAGE = r"<img[^>]*>|</img>"
 DATED_TAG = rf"{BLANK}*<[^<>]*\p{{Nd}}{{4}}{BLANK}*\.{BLANK}*\p{{Nd}}{{1,2}}{BLANK}*\.{BLANK}*\p{{Nd}}{{1,2}}[^<>]*>"

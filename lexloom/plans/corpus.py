@@ -43,18 +43,18 @@ def _strip(c: str) -> str:
 # text functions
 
 
-@query("select doc_id, length(n) as n_chars_norm, md5(n) as norm_md5 from (select doc_id, regexp_replace(text, '[^\\p{L}\\p{N}]+', '', 'g') as n from documents)")
+@query("select doc_id, length(n) as n_chars_norm, md5(n) as norm_md5 from (select doc_id, regexp_replace(coalesce(text, ''), '[^\\p{L}\\p{N}]+', '', 'g') as n from documents)")
 def norm_text(s: SparkSession, d: str) -> DataFrame:
-    n = X.norm(F.col("text"))
+    n = X.norm(F.coalesce("text", F.lit("")))
     return _docs(s, d).select("doc_id", n.alias("n")).select("doc_id", F.char_length("n").cast("bigint").alias("n_chars_norm"), F.md5("n").alias("norm_md5"))
 
 
 CLEAN = f"""
-    with a as (select doc_id, nfc_normalize(text) as t from documents),
+    with a as (select doc_id, nfc_normalize(coalesce(text, '')) as t from documents),
     b as (select doc_id, regexp_replace(regexp_replace(t, '<img[^>]*>|</img>', ' ', 'g'), '[\\x{{2500}}-\\x{{257F}}]+', ' ', 'g') as t from a),
     c as (select doc_id, replace(regexp_replace(t, '\\\\([\\\\`*_{{}}\\[\\]()#+\\-.!|<>~])', '\\1', 'g'), '**', '') as t from b),
     e as (select doc_id, regexp_replace(t, '{B}*<[^<>]*\\p{{Nd}}{{4}}{B}*\\.{B}*\\p{{Nd}}{{1,2}}{B}*\\.{B}*\\p{{Nd}}{{1,2}}[^<>]*>', '', 'g') as t from c),
-    f as (select doc_id, regexp_replace(t, '\\([㐀-䶿一-鿿豈-﫿]+\\)', '', 'g') as t from e)
+    f as (select doc_id, regexp_replace(t, '\\([{X.IDEOGRAPHS}]+\\)', '', 'g') as t from e)
     select doc_id, length(t) as n_chars_clean, md5(t) as clean_md5
     from (select doc_id, trim(regexp_replace(t, '{B}+', ' ', 'g')) as t from f)
 """
@@ -62,7 +62,7 @@ CLEAN = f"""
 
 @query(CLEAN)
 def clean_text(s, d):
-    c = _docs(s, d).select("doc_id", X.clean(F.col("text")).alias("t"))
+    c = _docs(s, d).select("doc_id", X.clean(F.coalesce("text", F.lit(""))).alias("t"))
     return c.select("doc_id", F.char_length("t").cast("bigint").alias("n_chars_clean"), F.md5("t").alias("clean_md5"))
 
 

@@ -34,7 +34,7 @@ G = "sp as (select distinct group_id, split from splits)"
 N = "regexp_replace({}, '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
 DROP = f"""case when length({N.format('coalesce(question, chr(32))')}) < 8 then 'too_short'
     when length(regexp_replace(question, '[^가-힣]', '', 'g')) / greatest(1, length(regexp_replace(question, '[^\\p{{L}}]', '', 'g'))) < 0.7 then 'not_korean'
-    when regexp_matches(question, '[㐀-䶿一-鿿豈-﫿]') then 'chinese_chars'
+    when regexp_matches(question, '[{X.IDEOGRAPHS}]') then 'chinese_chars'
     when regexp_matches(question, '제[\\s\\v\\x1c-\\x1f\\x{{85}}\\p{{Z}}]*\\p{{Nd}}+[\\s\\v\\x1c-\\x1f\\x{{85}}\\p{{Z}}]*조') then 'article_number' end"""
 
 

@@ -156,12 +156,12 @@ def val_ir_metrics(s, d):
 
 
 @query(
-    f"""with {DENSE_RANKS()}, at as (select row_number() over (order by query_id) - 1 as pos, case when rank <= 10 then 1.0 else 0 end::double as hit, case when rank <= 10 then 1 / rank else 0 end::double as mrr from ranks),
-    nn as (select count(*) as n from at),
+    f"""with {DENSE_RANKS()}, atr as (select row_number() over (order by query_id) - 1 as pos, case when rank <= 10 then 1.0 else 0 end::double as hit, case when rank <= 10 then 1 / rank else 0 end::double as mrr from ranks),
+    nn as (select count(*) as n from atr),
     pk as (select dr, ('0x' || substr(md5('42|' || dr || '|' || sl), 1, 8))::bigint % n as pos from range(1000) a(dr), nn, lateral (select unnest(range(n)) as sl) b),
-    pe as (select dr, avg(hit) as hit, avg(mrr) as mrr from pk join at using (pos) group by dr)
-    select 'recall_10' as metric, round((select avg(hit) from at), 6) as value, round(quantile_cont(hit, 0.025), 6) as lo, round(quantile_cont(hit, 0.975), 6) as hi from pe
-    union all select 'mrr_10', round((select avg(mrr) from at), 6), round(quantile_cont(mrr, 0.025), 6), round(quantile_cont(mrr, 0.975), 6) from pe"""
+    pe as (select dr, avg(hit) as hit, avg(mrr) as mrr from pk join atr using (pos) group by dr)
+    select 'recall_10' as metric, round((select avg(hit) from atr), 6) as value, round(quantile_cont(hit, 0.025), 6) as lo, round(quantile_cont(hit, 0.975), 6) as hi from pe
+    union all select 'mrr_10', round((select avg(mrr) from atr), 6), round(quantile_cont(mrr, 0.025), 6), round(quantile_cont(mrr, 0.975), 6) from pe"""
 )
 def bootstrap_ci(s, d):
     return rounded(R.bootstrap(materialize(dense_ranks(s, d), "ranks")))
