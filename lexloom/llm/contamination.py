@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm.fmindex import FMIndex
-from lexloom.llm.forms import bare_codes
+from lexloom.llm.forms import bare_codes, stretches
 from lexloom.runtime import ship
 
 #: Characters of text in one index, test characters searched at a time, and sent to the tasks at a time.
@@ -106,15 +106,17 @@ def leaked_spans(docs: DataFrame, items: DataFrame, min_chars: int = 40, shard_c
             if not len(windows):
                 return
             for b in batches:
-                c, o = bare_codes(b.column(1).to_pylist())
-                for k, doc in enumerate(b.column(0).to_pylist()):
-                    if o[k + 1] - o[k] < min_chars:
-                        continue
-                    if held and size + o[k + 1] - o[k] > shard_chars:
-                        yield flush()
-                        held, size = [], 0
-                    held.append((doc, c[o[k] : o[k + 1]]))
-                    size += o[k + 1] - o[k]
+                texts, names = b.column(1).to_pylist(), b.column(0).to_pylist()
+                for i, j in stretches(texts):
+                    c, o = bare_codes(texts[i:j])
+                    for k, doc in enumerate(names[i:j]):
+                        if o[k + 1] - o[k] < min_chars:
+                            continue
+                        if held and size + o[k + 1] - o[k] > shard_chars:
+                            yield flush()
+                            held, size = [], 0
+                        held.append((doc, c[o[k] : o[k + 1]]))
+                        size += o[k + 1] - o[k]
             if held:
                 yield flush()
 

@@ -175,6 +175,19 @@ def consistent(text: str | None, dots: bool = False) -> str | None:
     return transducer(dots)(text)
 
 
+def stretches(texts: list, chars: int = 1 << 20, rows: int = 1 << 30):
+    """Ranges (from, to) of a batch with a bounded number of characters and rows; a longer text has its own."""
+    start, size = 0, 0
+    for i, t in enumerate(texts):
+        n = len(t or "")
+        if i > start and (size + n > chars or i - start >= rows):
+            yield start, i
+            start, size = i, 0
+        size += n
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def bare_codes(texts: list) -> tuple[np.ndarray, np.ndarray]:
     """Code points of the bare forms of a batch, end to end, and the offsets (one more than texts)."""
     t = transducer()

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.llm.forms import stretches
 from lexloom.runtime import materialize, ship, small
 
 FILTER_BITS = 1 << 28
@@ -86,10 +87,18 @@ def _cid(text: str) -> bytes:
     return hashlib.md5(text.encode("utf-8", "surrogatepass")).digest()
 
 
+def _parts(batches):
+    """Texts in lists of a bounded number of characters."""
+    for b in batches:
+        texts = b.column(0).to_pylist()
+        for i, j in stretches(texts):
+            yield texts[i:j]
+
+
 def _blocks(block: int, bits: int):
     def run(batches):
-        for b in batches:
-            codes, off = _batch(b.column(0).to_pylist())
+        for texts in _parts(batches):
+            codes, off = _batch(texts)
             h, _, pos = _windows(codes, off, block)
             slot = np.unique(h[pos % block == 0] & np.uint64(bits - 1)).astype(np.int64)
             seg = slot >> 13
@@ -108,8 +117,7 @@ def _probe(block: int, bits: int, bc):
     def run(batches):
         bitmap = np.frombuffer(bc.value, np.uint8) if bc is not None else None
         seen: set = set()
-        for b in batches:
-            texts = b.column(0).to_pylist()
+        for texts in _parts(batches):
             cids = [_cid(t) for t in texts]
             fresh = []
             for i, c in enumerate(cids):

@@ -33,12 +33,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.forms import bare_codes
+from lexloom.llm.forms import bare_codes, stretches
 from lexloom.runtime import materialize, ship, small
 
 SLOTS = 1 << 20
-SKETCH_WORDS = 4
-CHUNK = 1 << 21
+MAX_WIDTH = 12
+CHUNK = 1 << 19
+BUCKET_BYTES = 48 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -61,8 +62,7 @@ def pieces(bare: list, distinct: bool = True) -> tuple[np.ndarray, np.ndarray]:
     if distinct and len(g):
         o = np.lexsort((g, doc))
         g, doc = g[o], doc[o]
-        first = np.ones(len(g), bool)
-        first[1:] = (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])
+        first = np.concatenate([[True], (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])])
         g, doc = g[first], doc[first]
     return doc, g
 
@@ -74,8 +74,10 @@ def _slot(g: np.ndarray) -> np.ndarray:
 def _count_slots(batches):
     total = np.zeros(SLOTS, np.int64)
     for b in batches:
-        _, g = pieces(b.column(0).to_pylist(), distinct=False)
-        total += np.bincount(_slot(g), minlength=SLOTS)
+        texts = b.column(0).to_pylist()
+        for i, j in stretches(texts):
+            _, g = pieces(texts[i:j], distinct=False)
+            total += np.bincount(_slot(g), minlength=SLOTS)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["slot", "n"])
 
@@ -88,89 +90,139 @@ def slot_counts(texts: DataFrame) -> np.ndarray:
     return out
 
 
+SIGNATURE = "bucket bigint, cids binary, n binary, side binary, sketch binary, lens binary, keys binary"
+
+
+def _width(n: np.ndarray) -> np.ndarray:
+    """Binary logarithm of the sketch's bits: about as many bits as pieces, from 64 to 2 ** MAX_WIDTH."""
+    return np.clip(np.ceil(np.log2(np.maximum(n, 1))), 6, MAX_WIDTH).astype(np.int64)
+
+
 def _signatures(counts_bc, t: float, buckets: int, hot: int):
+    """For each bucket, the texts of a block that go there, as packed arrays in one row.
+
+    Pieces are sorted as packed 64-bit keys: number of the text, rarity, hash. A text's set
+    is known by 54 bits of its pieces' hashes; lists by 32 bits, which can only add candidates.
+    """
+
+    def block(texts, sides, cids, counts):
+        doc, g = pieces(texts, distinct=False)
+        if not len(g):
+            return None
+        m = len(texts)
+        u = np.sort((doc.astype(np.uint64) << np.uint64(54)) | (_mix(g) >> np.uint64(10)))
+        u = u[np.concatenate([[True], u[1:] != u[:-1]])]
+        doc = (u >> np.uint64(54)).astype(np.int64)
+        n = np.bincount(doc, minlength=m)
+        width = 1 << _width(n)
+        place = np.concatenate([[0], np.cumsum(width)])
+        flat = place[doc] + (u & (width[doc] - 1).astype(np.uint64)).astype(np.int64)
+        sketch = np.packbits((np.bincount(flat, minlength=place[-1]) & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+        place >>= 6
+        h = u & np.uint64((1 << 54) - 1)
+        rare = np.minimum(counts[(h >> np.uint64(34)).astype(np.int64)], (1 << 22) - 1).astype(np.uint64)
+        u = np.sort((doc.astype(np.uint64) << np.uint64(54)) | (rare << np.uint64(32)) | ((h >> np.uint64(2)) & np.uint64(0xFFFFFFFF)))
+        start = np.concatenate([[0], np.cumsum(n)[:-1]])
+        short = np.arange(len(u)) - start[doc] < (n - np.ceil(t * n - 1e-9).astype(np.int64) + 1)[doc]
+        doc, u = doc[short], u[short]
+        key = (u & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        often = ((u >> np.uint64(32)) & np.uint64((1 << 22) - 1)).astype(np.int64)
+        single = often <= hot
+        at, who, keys = [(key[single] % np.uint32(buckets)).astype(np.int64)], [doc[single]], [key[single]]
+        for j in np.flatnonzero(~single):  # a hot list: one place for each pair of its blocks
+            parts = int(-(-often[j] // hot))
+            mine = int.from_bytes(cids[doc[j]][:8], "little") % parts
+            other = np.arange(parts)
+            pair = np.minimum(mine, other) * parts + np.maximum(mine, other)
+            at.append(buckets + (int(key[j]) * 1_000_003 + pair) % (1 << 40))
+            who.append(np.full(parts, doc[j]))
+            keys.append(np.full(parts, key[j]))
+        at, who, keys = np.concatenate(at), np.concatenate(who), np.concatenate(keys)
+        o = np.lexsort((who, at))
+        at, who, keys = at[o], who[o], keys[o]
+        begin = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (who[1:] != who[:-1])]))
+        lens = np.diff(np.append(begin, len(at))).astype(np.uint32)
+        rec, home = who[begin], at[begin]
+        first = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1]]))
+        out = {k: [] for k in ("bucket", "cids", "n", "side", "sketch", "lens", "keys")}
+        for x, y in zip(first, np.append(first[1:], len(home))):
+            r = rec[x:y]
+            out["bucket"].append(int(home[x]))
+            out["cids"].append(b"".join([cids[i] for i in r]))
+            out["n"].append(n[r].astype(np.uint32).tobytes())
+            out["side"].append(sides[r].astype(np.uint8).tobytes())
+            out["sketch"].append(b"".join([sketch[place[i] : place[i + 1]].tobytes() for i in r]))
+            out["lens"].append(lens[x:y].tobytes())
+            out["keys"].append(keys[begin[x] : begin[y] if y < len(begin) else len(keys)].tobytes())
+        cols = [pa.array(v, pa.int64() if k == "bucket" else pa.binary()) for k, v in out.items()]
+        return pa.RecordBatch.from_arrays(cols, list(out))
+
     def run(batches):
         counts = counts_bc.value
         seen: set = set()
         for b in batches:
             texts, sides, cids = b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_pylist()
-            doc, g = pieces(texts)
-            fresh = np.zeros(len(texts), bool)
-            for i, c in enumerate(cids):
-                k = (c, int(sides[i]))
+            fresh = []
+            for i, k in enumerate(zip(cids, sides.tolist())):
                 if k not in seen:
                     seen.add(k)
-                    fresh[i] = True
-            keep = fresh[doc]
-            doc, g = doc[keep], g[keep]
-            if not len(g):
-                continue
-            n = np.bincount(doc, minlength=len(texts))
-            h = _mix(g)
-            slot = (h >> np.uint64(44)).astype(np.int64)
-            # parity sketch of the whole set
-            sk = np.zeros((len(texts), SKETCH_WORDS * 64), np.uint8)
-            flat = doc * (SKETCH_WORDS * 64) + (h & np.uint64(SKETCH_WORDS * 64 - 1)).astype(np.int64)
-            sk = (np.bincount(flat, minlength=sk.size) & 1).astype(np.uint8).reshape(len(texts), -1)
-            sk = np.packbits(sk, axis=1)
-            # rare pieces first; the short lists
-            o = np.lexsort((h, counts[slot], doc))
-            doc, h, slot = doc[o], h[o], slot[o]
-            start = np.concatenate([[0], np.cumsum(n)[:-1]])
-            pos = np.arange(len(doc)) - start[doc]
-            short = pos < (n - np.ceil(t * n - 1e-9).astype(np.int64) + 1)[doc]
-            doc, h, slot = doc[short], h[short], slot[short]
-            key = (h >> np.uint64(12)).astype(np.uint32)
-            blocks = -(-counts[slot] // hot)
-            single = blocks <= 1
-            at = [(key[single] % np.uint32(buckets)).astype(np.int64)]
-            who, keys = [doc[single]], [key[single]]
-            for j in np.flatnonzero(~single):  # a hot list: one place for each pair of blocks
-                m = int(blocks[j])
-                mine = int.from_bytes(cids[doc[j]][:8], "little") % m
-                for other in range(m):
-                    lo, hi = min(mine, other), max(mine, other)
-                    pair = lo * m + hi
-                    who.append(doc[j : j + 1])
-                    keys.append(key[j : j + 1])
-                    at.append(np.array([buckets + (int(key[j]) * 1_000_003 + pair) % (1 << 40)], np.int64))
-            at, who, keys = np.concatenate(at), np.concatenate(who), np.concatenate(keys)
-            o = np.lexsort((at, who))
-            at, who, keys = at[o], who[o], keys[o]
-            first = np.ones(len(at), bool)
-            first[1:] = (at[1:] != at[:-1]) | (who[1:] != who[:-1])
-            begin = np.flatnonzero(first)
-            size = np.diff(np.append(begin, len(at)))
-            offs = np.concatenate([[0], np.cumsum(size * 4)]).astype(np.int32)
-            rec = who[begin]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(at[begin]),
-                    pa.array([cids[i] for i in rec], pa.binary()),
-                    pa.array(n[rec].astype(np.int32)),
-                    pa.array(sides[rec].astype(np.int32)),
-                    pa.array([s.tobytes() for s in sk[rec]], pa.binary()),
-                    pa.Array.from_buffers(pa.binary(), len(rec), [None, pa.py_buffer(offs), pa.py_buffer(keys.tobytes())]),
-                ],
-                ["bucket", "cid", "n", "side", "sketch", "keys"],
-            )
+                    fresh.append(i)
+            held = [texts[i] for i in fresh]
+            for i, j in stretches(held, rows=1024):
+                f = fresh[i:j]
+                out = block(held[i:j], sides[f], [cids[k] for k in f], counts)
+                if out is not None:
+                    yield out
 
     return run
 
 
-def _fixed(col, width: int) -> np.ndarray:
-    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
-    return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(len(col), width)
+class Sketches:
+    """Parity sketches of sets of different sizes. A sketch folds to half its bits by xor of its halves.
+
+    A pair is compared at the smaller width of the two, where the number of differing bits
+    is at most the size of the sets' symmetric difference.
+    """
+
+    def __init__(self, n: np.ndarray, words: np.ndarray, offset: np.ndarray):
+        self.width = _width(n)
+        self.row = np.zeros((MAX_WIDTH + 2, len(n)), np.int32)
+        self.tables: dict[int, np.ndarray] = {}
+        for w in np.unique(self.width):
+            w = int(w)
+            own, next_ = np.flatnonzero(self.width == w), np.flatnonzero(self.width == w + 1)
+            take = lambda at, k: words[offset[at][:, None] + np.arange(k)]
+            k = (1 << w) // 64
+            a = take(own, k)
+            if len(next_):
+                b = take(next_, 2 * k)
+                a = np.concatenate([a, b[:, :k] ^ b[:, k:]])
+            self.row[w, np.concatenate([own, next_])] = np.arange(len(a))
+            self.tables[w] = np.ascontiguousarray(a.T)
+
+    def near(self, x: np.ndarray, y: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        w = np.minimum(self.width[x], self.width[y])
+        ok = np.abs(self.width[x] - self.width[y]) > 1  # can't be compared: stays a candidate
+        for k in np.unique(w):
+            at = np.flatnonzero((w == k) & ~ok)
+            if not len(at):
+                continue
+            i, j = self.row[k][x[at]], self.row[k][y[at]]
+            ham = np.zeros(len(at), np.uint16)
+            for column in self.tables[int(k)]:
+                ham += np.bitwise_count(column[i] ^ column[j])
+            ok[at] = ham <= limit[at]
+        return ok
 
 
-def merge_lists(key, rec_l, rec_r, n, sketch, t: float, same: bool):
-    """Pairs of records that share a short list and may be similar; key: (list, record) of each side, sorted by list."""
+def merge_lists(key, rec_l, rec_r, n, sketches, t: float, same: bool):
+    """Pairs of records that share a short list and may be similar; key: the lists of each side's entries."""
     kl, kr = key
     comp_l = (kl.astype(np.uint64) << np.uint64(32)) | n[rec_l].astype(np.uint64)
     comp_r = (kr.astype(np.uint64) << np.uint64(32)) | n[rec_r].astype(np.uint64)
     ol, orr = np.argsort(comp_l, kind="stable"), np.argsort(comp_r, kind="stable")
-    comp_l, rec_l = comp_l[ol], rec_l[ol]
-    comp_r, rec_r = comp_r[orr], rec_r[orr]
+    comp_l, rec_l = comp_l[ol], rec_l[ol].astype(np.int32)
+    comp_r, rec_r = comp_r[orr], rec_r[orr].astype(np.int32)
     base = comp_l & np.uint64(0xFFFFFFFF00000000)
     nl = n[rec_l]
     top = np.minimum(np.floor(nl / t + 1e-9), 2**32 - 1).astype(np.uint64)
@@ -179,27 +231,22 @@ def merge_lists(key, rec_l, rec_r, n, sketch, t: float, same: bool):
         lo = np.arange(1, len(comp_l) + 1)
     else:
         lo = np.searchsorted(comp_r, base | np.ceil(t * nl - 1e-9).astype(np.uint64), side="left")
-    cnt = np.maximum(hi - lo, 0)
+    # the pairs of left entry i are i with lo[i] ... hi[i]; taken in steps of CHUNK pairs, across and within lists
+    total = np.concatenate([[0], np.cumsum(np.maximum(hi - lo, 0))])
+    slack = n * ((1 - t) / (1 + t)) + 5e-10
     found = []
-    i, total = 0, np.concatenate([[0], np.cumsum(cnt)])
-    while i < len(cnt):
-        j = max(i + 1, int(np.searchsorted(total, total[i] + CHUNK, side="right")) - 1)
-        c = cnt[i:j]
-        if c.sum():
-            for cut in range(0, int(c.sum()), CHUNK * 2):  # one long list still goes in bounded steps
-                if c.sum() <= CHUNK * 2:
-                    a = np.repeat(np.arange(i, j), c)
-                    b = lo[a] + np.arange(len(a)) - np.repeat(total[i:j] - total[i], c)
-                else:
-                    b = lo[i] + np.arange(cut, min(cut + CHUNK * 2, int(c.sum())))
-                    a = np.full(len(b), i)
-                x, y = rec_l[a], rec_r[b]
-                ham = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int32)
-                near = (ham <= np.floor((1 - t) / (1 + t) * (n[x] + n[y]) + 1e-9)) & (x != y)
-                x, y = x[near], y[near]
-                if len(x):
-                    found.append(np.unique(np.minimum(x, y) * np.int64(len(n)) + np.maximum(x, y)))
-        i = j
+    for begin in range(0, int(total[-1]), CHUNK):
+        end = min(begin + CHUNK, int(total[-1]))
+        i = int(np.searchsorted(total, begin, side="right")) - 1
+        j = int(np.searchsorted(total, end, side="left"))
+        c = np.minimum(total[i + 1 : j + 1], end) - np.maximum(total[i:j], begin)
+        a = np.repeat(np.arange(i, j, dtype=np.int32), c)
+        b = np.arange(begin, end) + np.repeat(lo[i:j] - total[i:j], c)
+        x, y = rec_l[a], rec_r[b]
+        near = sketches.near(x, y, slack[x] + slack[y]) & (x != y)
+        if near.any():
+            x, y = x[near].astype(np.int64), y[near].astype(np.int64)
+            found.append(np.unique(np.minimum(x, y) * len(n) + np.maximum(x, y)))
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     p = np.unique(np.concatenate(found))
@@ -210,27 +257,23 @@ def _bucket_kernel(t: float, two_sided: bool):
     schema = pa.schema([("cid_a", pa.binary()), ("cid_b", pa.binary())])
 
     def run(tab: pa.Table) -> pa.Table:
-        cid = _fixed(tab["cid"], 16)
-        side = tab["side"].to_numpy()
-        v = np.ascontiguousarray(cid).view("<u8")
-        ids, first, inv = np.unique(v[:, 0] ^ (v[:, 1] * np.uint64(0x9E3779B97F4A7C15)), return_index=True, return_inverse=True)
-        n = tab["n"].to_numpy().astype(np.int64)[first]
-        sketch = np.ascontiguousarray(_fixed(tab["sketch"], SKETCH_WORDS * 8)).view("<u8")[first]
-        lists = tab["keys"].to_pylist()
-        size = np.array([len(k) // 4 for k in lists])
-        keys = np.frombuffer(b"".join(lists), np.uint32)
+        col = lambda name, kind: np.frombuffer(b"".join(tab[name].to_pylist()), kind)
+        cid = col("cids", np.uint64).reshape(-1, 2)
+        n_all, side, size, keys = col("n", np.uint32).astype(np.int64), col("side", np.uint8), col("lens", np.uint32), col("keys", np.uint32)
+        _, first, inv = np.unique(cid[:, 0] ^ (cid[:, 1] * np.uint64(0x9E3779B97F4A7C15)), return_index=True, return_inverse=True)
+        offset = np.concatenate([[0], np.cumsum((1 << _width(n_all)) >> 6)])[first]
+        n = n_all[first]
+        sketches = Sketches(n, col("sketch", np.uint64), offset)
         rec, sd = np.repeat(inv, size), np.repeat(side, size)
         if two_sided:
             l, r = (sd & 1) > 0, (sd & 2) > 0
-            a, b = merge_lists((keys[l], keys[r]), rec[l], rec[r], n, sketch, t, False)
+            a, b = merge_lists((keys[l], keys[r]), rec[l], rec[r], n, sketches, t, False)
         else:
             u = np.unique((keys.astype(np.int64) << 32) | rec)
             k, rc = (u >> 32).astype(np.uint32), u & 0xFFFFFFFF
-            a, b = merge_lists((k, k), rc, rc, n, sketch, t, True)
-        if not len(a):
-            return schema.empty_table()
-        reps = cid[first]
-        ca, cb = [reps[i].tobytes() for i in a], [reps[i].tobytes() for i in b]
+            a, b = merge_lists((k, k), rc, rc, n, sketches, t, True)
+        reps = [x.tobytes() for x in cid[first]]
+        ca, cb = [reps[i] for i in a], [reps[i] for i in b]
         lo = [min(x) for x in zip(ca, cb)]
         hi = [max(x) for x in zip(ca, cb)]
         return pa.table([pa.array(lo, pa.binary()), pa.array(hi, pa.binary())], schema=schema)
@@ -241,19 +284,20 @@ def _bucket_kernel(t: float, two_sided: bool):
 def _prepare(batches):
     for b in batches:
         texts = b.column(1).to_pylist()
-        codes, off = bare_codes(texts)
-        raw = codes.tobytes()
-        bare = [raw[4 * off[i] : 4 * off[i + 1]] for i in range(len(texts))]
-        has = [len(x) >= 12 for x in bare]
-        yield pa.RecordBatch.from_arrays(
-            [
-                b.column(0),
-                b.column(2),
-                pa.array([xxhash.xxh3_128_digest(x) if h else None for x, h in zip(bare, has)], pa.binary()),
-                pa.array([x.decode("utf-32-le", "surrogatepass") if h else None for x, h in zip(bare, has)], pa.string()),
-            ],
-            ["key", "side", "cid", "bare"],
-        )
+        for i, j in stretches(texts):
+            codes, off = bare_codes(texts[i:j])
+            raw = codes.tobytes()
+            bare = [raw[4 * off[k] : 4 * off[k + 1]] for k in range(j - i)]
+            has = [len(x) >= 12 for x in bare]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0).slice(i, j - i),
+                    b.column(2).slice(i, j - i),
+                    pa.array([xxhash.xxh3_128_digest(x) if h else None for x, h in zip(bare, has)], pa.binary()),
+                    pa.array([x.decode("utf-32-le", "surrogatepass") if h else None for x, h in zip(bare, has)], pa.string()),
+                ],
+                ["key", "side", "cid", "bare"],
+            )
 
 
 def prepare(df: DataFrame) -> DataFrame:
@@ -285,20 +329,22 @@ def overlaps(left: list, right: list) -> tuple[np.ndarray, np.ndarray, np.ndarra
 def _verify(t: float):
     def run(batches):
         for b in batches:
-            c, na, nb = overlaps(b.column("bare_a").to_pylist(), b.column("bare_b").to_pylist())
-            union = na + nb - c
-            keep = (union > 0) & (c >= t * union - 1e-9)
-            idx = pa.array(np.flatnonzero(keep))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column("cid_a").take(idx),
-                    b.column("cid_b").take(idx),
-                    pa.array((c / np.maximum(union, 1))[keep]),
-                    pa.array((c / np.maximum(na, 1))[keep]),
-                    pa.array((c / np.maximum(nb, 1))[keep]),
-                ],
-                ["cid_a", "cid_b", "similarity", "contained_a", "contained_b"],
-            )
+            left, right = b.column("bare_a").to_pylist(), b.column("bare_b").to_pylist()
+            for i, j in stretches(left, rows=1024):
+                c, na, nb = overlaps(left[i:j], right[i:j])
+                union = na + nb - c
+                keep = (union > 0) & (c >= t * union - 1e-9)
+                idx = pa.array(i + np.flatnonzero(keep))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column("cid_a").take(idx),
+                        b.column("cid_b").take(idx),
+                        pa.array((c / np.maximum(union, 1))[keep]),
+                        pa.array((c / np.maximum(na, 1))[keep]),
+                        pa.array((c / np.maximum(nb, 1))[keep]),
+                    ],
+                    ["cid_a", "cid_b", "similarity", "contained_a", "contained_b"],
+                )
 
     return run
 
@@ -315,13 +361,11 @@ def similar_classes(prep: DataFrame, t: float = 0.8, two_sided: bool = False, bu
     texts = prep.where("bare is not null").select("bare", "side", "cid")
     counts = slot_counts(texts.select("bare"))
     if buckets is None:
-        # about 8 MB of signatures to a bucket, at 12 bytes a piece of the short lists
+        # few large buckets: a text goes to as many buckets as it has short lists, at most
         short = counts.sum() * (1 - t) * 1.2
-        buckets = int(min(1 << 20, max(16, math.ceil(short * 12 / (8 << 20)))))
+        buckets = int(min(1 << 20, max(8, math.ceil(short * 12 / BUCKET_BYTES))))
     bc = spark.sparkContext.broadcast(counts)
-    sig = texts.mapInArrow(
-        _signatures(bc, t, buckets, hot), "bucket bigint, cid binary, n int, side int, sketch binary, keys binary"
-    )
+    sig = texts.mapInArrow(_signatures(bc, t, buckets, hot), SIGNATURE)
     kernel = _bucket_kernel(t, two_sided)
     cand = materialize(sig.groupBy("bucket").applyInArrow(kernel, "cid_a binary, cid_b binary").distinct(), "candidates")
     ids = materialize(cand.select(F.explode(F.array("cid_a", "cid_b")).alias("cid")).distinct(), "candidate-ids")
