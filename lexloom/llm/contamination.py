@@ -64,12 +64,12 @@ def leaked_spans(docs: DataFrame, items: DataFrame, min_chars: int = 40, shard_c
 
     A span is a longest stretch of at least `min_chars` characters in a row of the item's
     bare form; spans of one item that touch are merged. Null, empty and shorter texts give
-    no row. The items reach the tasks in blocks of at most ITEM_CHARS characters, so that
+    no row, nor do rows without an id; repeated rows give their spans again. The items reach the tasks in blocks of at most ITEM_CHARS characters, so that
     none is left out however many they are; the documents never move.
     """
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null and doc_id is not null")
     tests = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull())
     total = tests.agg(F.sum(F.char_length("text"))).first()[0] or 0
     parts = int(total // ITEM_CHARS) + 1

@@ -180,13 +180,13 @@ def shared_spans(docs: DataFrame, length: int = 200, block: int | None = None, f
     """docs: `doc_id`, `text` -> doc_id, shared_chars, n_spans, longest, for each document with a shared run.
 
     A character counts if it lies in a run of at least `length` characters, as stored, that
-    also occurs in the text of another doc_id. Null, empty and shorter texts give no row; a
+    also occurs in the text of another doc_id. Null, empty and shorter texts, and rows without an id, give no row; a
     doc_id delivered several times counts as one record. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     ship(spark)
     block = block or length // 2
-    rows = docs.where(F.char_length("text") >= length)
+    rows = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & (F.char_length("text") >= length))
     texts = rows.select("text")
     size = rows.agg(F.sum(F.char_length("text"))).first()[0] or 0
     want = max(1 << 16, int(size / block * BITS_PER_BLOCK))
