@@ -23,9 +23,11 @@ def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6,
 
     The corpus streams by in blocks past blocks of queries of a bounded size, as one matrix
     product each; every task sends only its own best k of each query to the final window.
+    Rows without an id or a vector are left out.
     The queries come to the driver in blocks of QUERY_BYTES, never all at once.
     """
     spark = corpus.sparkSession
+    queries, corpus = queries.where("vector is not null and query_id is not null"), corpus.where("vector is not null and doc_id is not null")
     first = queries.select(F.size("vector").alias("d"), F.count("*").over(Window.partitionBy()).alias("n")).first()
     schema = "query_id bigint, doc_id bigint, score double"
     if first is None:
@@ -70,7 +72,8 @@ def dense_group_rank(queries: DataFrame, corpus: DataFrame, digits: int = 6) ->
     row per query and block is shuffled, never a ranking.
     """
     spark = corpus.sparkSession
-    got = queries.select("query_id", "vector", "label")
+    corpus = corpus.where("vector is not null and doc_id is not null")
+    got = queries.select("query_id", "vector", "label").where("vector is not null and query_id is not null")
     n = got.count()
     if not n:
         return spark.createDataFrame([], "query_id bigint, rank bigint")

@@ -395,3 +395,34 @@ def seeded_sample(s, d):
 
     w = Window.partitionBy("doc_type").orderBy(X.seeded(42, F.col("doc_id")), "doc_id")
     return _docs(s, d).select("doc_type", "doc_id", F.row_number().over(w).alias("r")).where("r <= 5").drop("r")
+
+
+# chunks from documents
+
+
+@query()
+def chunk_documents(s, d):
+    """Chunks of all documents within the token budget: cases by issue, other texts by line and window."""
+    from lexloom.operators import chunking
+
+    x = _docs(s, d).select(
+        F.col("doc_key").alias("doc_id"), "doc_type", "title", "source_url", F.concat(F.lit("["), "title", F.lit("]")).alias("prefix"), "text", "holding", "summary",
+        F.lit(None).cast("array<struct<no:string,text:string,deleted:boolean,items:array<struct<no:string,text:string,deleted:boolean,subitems:array<struct<no:string,text:string,deleted:boolean>>>>>>").alias("paragraphs"),
+    )
+    return chunking.chunk_documents(x.withColumn("prefix", F.coalesce("prefix", F.lit("[]"))))
+
+
+@query("select law, count(*) as n, array_to_string(list_sort(list(kind)), ',') as kinds, max(promulgated) as newest from law_file group by law")
+def law_kinds(s, d):
+    g = table(s, d, "law_file").groupBy("law").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("kind")).alias("k"), F.max("promulgated").alias("newest"))
+    return g.select("law", "n", F.array_join("k", ",").alias("kinds"), "newest")
+
+
+@query(
+    """select path as raw_path, title, row_number() over (partition by law, kind order by promulgated desc, path) = 1 as kept
+    from (select raw_path as path, law, kind, title, promulgated from law_file)"""
+)
+def latest_law_file(s, d):
+    """Latest file of each law and kind by promulgation; the others are recorded as left out."""
+    v = versions.latest_per_key(table(s, d, "law_file"), ["law", "kind"], [F.desc_nulls_last("promulgated"), F.asc("raw_path")])
+    return v.select("raw_path", "title", F.col("is_latest").alias("kept"))

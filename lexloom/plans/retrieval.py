@@ -61,8 +61,8 @@ RANKS = f"""{Q_CHUNKS}, tq as ({TEST_Q}), ch as (select distinct chunk_id as dk,
     ranks as (select qk as qid, min(case when g = tg then r end) as rank from rk group by qk)"""
 
 
-def test_ranks(s, d) -> DataFrame:
-    q = questions(s, d).where("split = 'test'").select("qid", "group_id", "question")
+def source_ranks(s, d, q: DataFrame) -> DataFrame:
+    """`qid` and the rank of its source document (any of its chunks) among all chunks. q: qid, group_id, question."""
     c = table(s, d, "chunks").groupBy("chunk_id").agg(F.any_value("text").alias("text"), F.any_value("group_id").alias("group_id"))
     c = materialize(c, "chunks")
     scored = bm25.scores(bm25.tokens(c, "chunk_id", "text"), bm25.tokens(q, "qid", "question"), "chunk_id", "qid")
@@ -70,6 +70,10 @@ def test_ranks(s, d) -> DataFrame:
     return bm25.group_rank(scored, c.select("chunk_id", "group_id"), q.select("qid", "group_id"), "qid", "chunk_id", "group_id")
 
 
+def test_ranks(s, d) -> DataFrame:
+    return source_ranks(s, d, questions(s, d).where("split = 'test'").select("qid", "group_id", "question"))
+
+
 @query(f"with {RANKS} select qid, rank from ranks")
 def bm25_group_rank(s, d):
     """Rank of the source document among all chunks for each test question."""
@@ -230,3 +234,12 @@ def demo_compare(s, d):
 def demo_counts(s, d):
     x = demo_compare(s, d)
     return x.agg(F.count("*").alias("n"), F.count_if("differs").alias("n_differ"), F.count_if("base_correct").alias("base_hits"), F.count_if("other_correct").alias("other_hits"))
+
+
+@query(
+    f"""{COMPARE} select a.q as query_id, a.dd as base_top, b.dd as other_top from a join b on a.q = b.q join e ea on ea.vec_id = a.dd join e eb on eb.vec_id = b.dd join e eq on eq.vec_id = a.q
+    where a.dd <> b.dd and (ea.label = eq.label) <> (eb.label = eq.label)"""
+)
+def top1_differs(s, d):
+    """Queries whose first hits differ and where only one of them is right."""
+    return demo_compare(s, d).where("differs and base_correct <> other_correct").select("query_id", "base_top", "other_top")
