@@ -81,7 +81,9 @@ def test_long_list_goes_in_steps(monkeypatch):
     n = 200
     key = np.zeros(n, np.uint32)
     rec = np.arange(n)
-    a, b = J.merge_lists((key, key), rec, rec, np.full(n, 10), np.zeros((n, 4), np.uint64), 0.8, True)
+    size = np.full(n, 10)
+    same = J.Sketches(size, np.zeros(n, np.uint64), np.arange(n))
+    a, b = J.merge_lists((key, key), rec, rec, size, same, 0.8, True)
     assert len(a) == n * (n - 1) // 2
 
 
