@@ -1,5 +1,24 @@
 """DuckDB SQL of this subpackage's queries where SQL can express them."""
 
+from lexloom.llm.forms import HYPHENS, LOOK_ALIKES, MIDDLE_DOTS
+
+# The bare form as far as the documents' texts need it: invisible characters out, composition, full-width forms.
+WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+PLAIN = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).replace("'", "''")
+BARE = f"regexp_replace(translate(nfc_normalize(regexp_replace(text, '[\\p{{Cf}}\\x{{34F}}]', '', 'g')), '{WIDE}', '{PLAIN}'), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+
+CASED = "\\p{Latin}\\p{Greek}\\p{Cyrillic}"
+LOOK = "".join(LOOK_ALIKES)
+
+# Look-alike letters become Latin everywhere: words that hold other letters stay different from Latin ones all the same.
+SPLIT = "case lower(regexp_replace(split, '[^\\p{L}]', '', 'g')) when 'train' then 'train' when 'training' then 'train' when 'test' then 'test' when null then null else 'val' end"
+QUESTIONS = f"""q as (select k, translate({BARE}, '{LOOK}', '{''.join(LOOK_ALIKES.values())}') as t, s from
+    (select qid as k, any_value(question) as text, any_value(case when split is null then null else {SPLIT} end) as s from queries_raw where question is not null group by qid))"""
+GRAMS = """gs as (select k, s, list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) as g from {src} where length(t) >= 3),
+    fl as (select k, s, len(g) as n, unnest(g) as g from gs),
+    pr as (select a.k as k1, b.k as k2, count(*) as c, any_value(a.n) as na, any_value(b.n) as nb from fl a join fl b
+        on a.g = b.g and {pair} and least(a.n, b.n) >= 0.8 * greatest(a.n, b.n) - 1e-9 group by 1, 2)"""
+
 SQL: dict[str, str] = {
     "p3_found": """
         select distinct 'chunks.text' as field, chunk_id as row_key from chunks where length(text) > 1000
@@ -18,4 +37,35 @@ SQL: dict[str, str] = {
         )
         select group_id from n group by group_id having count(distinct s) > 1
     """,
+    "p8_found": f"""
+        with b as (select doc_id, {BARE} as t from documents where text is not null),
+        i as (select item_id, {BARE} as t from benchmark where text is not null),
+        w as (select distinct item_id, substr(t, k, 40) as s from i, unnest(range(1, length(t) - 38)) as u(k)),
+        x as (select doc_id, substr(t, k, 40) as s from b, unnest(range(1, length(t) - 38)) as u(k))
+        select distinct doc_id, item_id from x join w using (s)
+    """,
+    "p9_found": """
+        with w as (select doc_id, k, md5(substr(text, k, 200)) as h from documents, unnest(range(1, length(text) - 198)) as u(k) where text is not null),
+        m as (select h from w group by h having min(doc_id) <> max(doc_id)),
+        s as (select doc_id, k, lag(k) over (partition by doc_id order by k) as before from (select distinct doc_id, k from w join m using (h)))
+        select doc_id, cast(sum(case when before is null then 200 else least(200, k - before) end) as bigint) as shared_chars from s group by doc_id
+    """,
+    "p4_found": f"""
+        with v as (select 'law_name' as field, cast(doc_id as varchar) as row_key, law_name as v, regexp_matches(law_name, '[{MIDDLE_DOTS}]') as dots from documents where law_name is not null
+            union select 'question', qid, question, false from queries_raw where question is not null)
+        select distinct field, row_key from v where dots or v <> nfc_normalize(v) or regexp_matches(v, '[\\p{{Cf}}\\x{{34F}}\\x{{2F00}}-\\x{{2FDF}}\\x{{FF01}}-\\x{{FF5E}}{HYPHENS}]')
+            or regexp_matches(v, '[^\\P{{Zs}} ]') or regexp_matches(v, '(?:^|[^{CASED}])[\\p{{Latin}}{LOOK}]*[{LOOK}][\\p{{Latin}}{LOOK}]*(?:$|[^{CASED}])')
+    """,
+    "p2_found": f"""
+        with {QUESTIONS}, {GRAMS.format(src="q", pair="a.k < b.k")}
+        select k1 as qid_a, k2 as qid_b from pr where c / (na + nb - c) >= 0.8
+    """,
+    "p5_found": f"""
+        with {QUESTIONS}, qs as (select k, t, case when s = 'train' then 2 else 1 end as s from q where s is not null), {GRAMS.format(src="qs", pair="a.s = 1 and b.s = 2")},
+        c as (select k, {BARE} as t, s from (select chunk_id as k, any_value(text) as text, any_value(case when split = 'train' then 2 else 1 end) as s
+            from chunks join (select distinct group_id, split from splits) using (group_id) where text is not null group by chunk_id)),
+        {GRAMS.format(src="c", pair="a.s = 1 and b.s = 2").replace("gs as", "gs2 as").replace("from gs", "from gs2").replace("fl as", "fl2 as").replace("fl a join fl b", "fl2 a join fl2 b").replace("pr as", "pr2 as")}
+        select 'question' as field, least(k1, k2) as key_a, greatest(k1, k2) as key_b from pr where c / (na + nb - c) >= 0.8
+        union all select 'chunk_text', least(k1, k2), greatest(k1, k2) from pr2 where c / (na + nb - c) >= 0.8
+    """,
 }
