@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexloom.functions.positions import positions
 from lexloom.functions.text import seeded
 
 #: Bytes of query vectors held by a task at a time.
@@ -28,9 +29,9 @@ def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6,
     """
     spark = corpus.sparkSession
     queries, corpus = queries.where("vector is not null and query_id is not null"), corpus.where("vector is not null and doc_id is not null")
-    first = queries.select(F.size("vector").alias("d"), F.count("*").over(Window.partitionBy()).alias("n")).first()
+    first = queries.agg(F.max(F.size("vector")).alias("d"), F.count("*").alias("n")).first()
     schema = "query_id bigint, doc_id bigint, score double"
-    if first is None:
+    if not first["n"]:
         return spark.createDataFrame([], "query_id bigint, rank bigint, doc_id bigint, score double")
     blocks = max(1, -(-first["n"] * first["d"] * 8 // QUERY_BYTES))
     out = None
@@ -173,7 +174,7 @@ def bootstrap(ranks: DataFrame, draws: int = 1000, seed: int = 42, k: int = 10)
     spark = ranks.sparkSession
     if not n:
         return spark.createDataFrame([], "metric string, value double, lo double, hi double")
-    at = ranks.select((F.row_number().over(Window.orderBy("query_id")) - 1).cast("bigint").alias("pos"), "rank")
+    at = positions(ranks.select("query_id", "rank"), [], ["query_id"], "pos").select(F.col("pos").cast("bigint"), "rank")
     hit = F.coalesce((F.col("rank") <= k).cast("double"), F.lit(0.0))
     mrr = F.when(F.col("rank") <= k, 1 / F.col("rank")).otherwise(0.0)
     at = at.select("pos", hit.alias("hit"), mrr.alias("mrr"))

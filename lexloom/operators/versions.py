@@ -10,14 +10,15 @@ def in_force(versions: DataFrame, key: str, committed: Column, effective: Column
     """The newest committed version of each key that is in force at the snapshot, with the number of newer ones skipped.
 
     Order is that of commits, not of effective dates: the first version in force, from the
-    newest commit backward, is taken. Keys without any have `pin_failed` and a null tie
-    column. One partial aggregation by key; no sort.
+    newest commit backward, is taken. Keys without any have `pin_failed` and a null version.
+    Aggregates before each shuffle; no list of a key's versions is gathered.
     """
     ok = F.coalesce(effective <= F.lit(snapshot).cast("date"), F.lit(False))
-    o = F.struct(committed.alias("c"), tie.alias("t"))
-    best = versions.groupBy(key).agg(F.max(F.when(ok, o)).alias("best"), F.collect_list(F.when(~ok, o)).alias("later"))
-    skipped = F.when(F.col("best").isNull(), F.size("later")).otherwise(F.size(F.filter("later", lambda x: x > F.col("best"))))
-    return best.select(key, F.col("best.t").alias("version"), skipped.cast("bigint").alias("n_skipped"), F.col("best").isNull().alias("pin_failed"))
+    v = versions.select(key, F.struct(committed.alias("c"), tie.alias("t")).alias("o"), ok.alias("ok"))
+    best = v.groupBy(key).agg(F.max(F.when(F.col("ok"), F.col("o"))).alias("best"))
+    later = v.where("not ok").join(best, key).where("best is null or o > best").groupBy(key).agg(F.count("*").alias("n"))
+    x = best.join(later, key, "left")
+    return x.select(key, F.col("best.t").alias("version"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_skipped"), F.col("best").isNull().alias("pin_failed"))
 
 
 def latest_in_force(versions: DataFrame, key: str, effective: Column, snapshot: str, tie: Column) -> DataFrame:

@@ -363,21 +363,21 @@ def reference_stats(s, d):
 @query(
     f"""with v as (select doc_key, doc_id, ingested_at, try_cast(effective_date as date) as e from documents where article_key is not null),
     b as (select doc_key, max(case when e <= date '{SNAPSHOT}' then (ingested_at, doc_id) end) as best from v group by doc_key)
-    select v.doc_key, any_value(best[2]) as version, count(case when not coalesce(e <= date '{SNAPSHOT}', false) and (best is null or (ingested_at, doc_id) > best) then 1 end) as n_skipped,
+    select v.doc_key, cast(any_value(best[2]) as varchar) as version, count(case when not coalesce(e <= date '{SNAPSHOT}', false) and (best is null or (ingested_at, doc_id) > best) then 1 end) as n_skipped,
         any_value(best) is null as pin_failed from v join b using (doc_key) group by v.doc_key"""
 )
 def in_force_version(s, d):
     v = _docs(s, d).where("article_key is not null")
-    return versions.in_force(v, "doc_key", F.col("ingested_at"), F.try_to_date("effective_date"), SNAPSHOT, F.col("doc_id"))
+    return versions.in_force(v, "doc_key", F.col("ingested_at"), F.try_to_date("effective_date"), SNAPSHOT, F.col("doc_id")).withColumn("version", F.col("version").cast("string"))
 
 
 @query(
-    f"""select doc_key, arg_max(doc_id, (e, doc_id)) filter (where e <= date '{SNAPSHOT}') as version
+    f"""select doc_key, cast(arg_max(doc_id, (e, doc_id)) filter (where e <= date '{SNAPSHOT}') as varchar) as version
     from (select doc_key, doc_id, try_cast(effective_date as date) as e from documents where article_key is not null) group by doc_key"""
 )
 def latest_in_force(s, d):
     v = _docs(s, d).where("article_key is not null")
-    return versions.latest_in_force(v, "doc_key", F.try_to_date("effective_date"), SNAPSHOT, F.col("doc_id"))
+    return versions.latest_in_force(v, "doc_key", F.try_to_date("effective_date"), SNAPSHOT, F.col("doc_id")).withColumn("version", F.col("version").cast("string"))
 
 
 @query("select doc_key, doc_id, row_number() over (partition by doc_key order by ingested_at desc nulls last, doc_id) = 1 as is_latest from documents")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as X
+from lexloom.functions.positions import positions
 from lexloom.operators import audit, dedup, pairs
 from lexloom.runtime import materialize, table
 
@@ -238,8 +239,8 @@ def resume_antijoin(s, d):
 )
 def batching(s, d):
     q = questions(s, d).select("qid", F.coalesce("split", F.lit("none")).alias("split"), "doc_type")
-    w = Window.partitionBy("split", "doc_type").orderBy("qid")
-    return q.select("qid", "split", F.floor((F.row_number().over(w) - 1) / 10).cast("bigint").alias("batch"), "doc_type")
+    p = positions(q, ["split", "doc_type"], ["qid"])
+    return p.select("qid", "split", F.floor(F.col("position") / 10).cast("bigint").alias("batch"), "doc_type")
 
 
 @query(

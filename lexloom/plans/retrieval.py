@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.functions.text import words
 from lexloom.operators import bm25
 from lexloom.operators import ranking as R
 from lexloom.plans.pairs import questions
@@ -49,7 +50,7 @@ def bm25_topk(s: SparkSession, d: str) -> DataFrame:
     """Flagship: the ten best documents for each held-out passage."""
     corpus = bm25.tokens(table(s, d, "documents"), "doc_id", "text")
     queries = bm25.tokens(table(s, d, "benchmark"), "item_id", "text")
-    return bm25.top_k(bm25.scores(corpus, queries, "doc_id", "item_id"), "item_id", "doc_id", K)
+    return bm25.search(corpus, queries, "doc_id", "item_id", K)
 
 
 TEST_Q = """select qid as qk, regexp_extract(qid, '^(.+)#\\d+\\|q\\d+$', 1) as g, arg_max(question, ingested_at) as text from queries_raw
@@ -64,10 +65,9 @@ RANKS = f"""{Q_CHUNKS}, tq as ({TEST_Q}), ch as (select distinct chunk_id as dk,
 def source_ranks(s, d, q: DataFrame) -> DataFrame:
     """`qid` and the rank of its source document (any of its chunks) among all chunks. q: qid, group_id, question."""
     c = table(s, d, "chunks").groupBy("chunk_id").agg(F.any_value("text").alias("text"), F.any_value("group_id").alias("group_id"))
-    c = materialize(c, "chunks")
-    scored = bm25.scores(bm25.tokens(c, "chunk_id", "text"), bm25.tokens(q, "qid", "question"), "chunk_id", "qid")
-    scored = materialize(scored, "scores")
-    return bm25.group_rank(scored, c.select("chunk_id", "group_id"), q.select("qid", "group_id"), "qid", "chunk_id", "group_id")
+    terms = lambda t: F.coalesce(words(F.col(t)), F.array().cast("array<string>")).alias("terms")
+    c = materialize(c.select("chunk_id", "group_id", terms("text")), "chunk-terms")
+    return bm25.source_rank(c, q.select("qid", "group_id", terms("question")), "chunk_id", "qid", "group_id")
 
 
 def test_ranks(s, d) -> DataFrame:

@@ -42,6 +42,9 @@ def test_bm25(spark, corpus):
     want = {(k, d): v for k, t in qs.items() for d, v in plain_bm25({**corpus, 99: ""}, t).items()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     top = bm25.top_k(s, "q", "doc_id", 3).where("q = 1").orderBy("rank").collect()
+    fast = bm25.search(bm25.tokens(docs, "doc_id", "text"), bm25.tokens(q, "q", "text"), "doc_id", "q", 3)
+    slow = bm25.top_k(s, "q", "doc_id", 3)
+    assert sorted(map(tuple, fast.collect())) == sorted(map(tuple, slow.collect())) and fast.columns == slow.columns
     best = sorted(((-round(v, 6), d) for (k, d), v in want.items() if k == 1))[:3]
     assert [(r["doc_id"], r["score"]) for r in top] == [(d, -v) for v, d in best]
 
@@ -53,6 +56,9 @@ def test_group_rank_counts_zero_scores(spark, corpus):
     q = spark.createDataFrame(qs, "q long, text string, g string")
     s = bm25.scores(bm25.tokens(full, "doc_id", "text"), bm25.tokens(q, "q", "text"), "doc_id", "q")
     got = {r["q"]: r["rank"] for r in bm25.group_rank(s, docs, q.select("q", "g"), "q", "doc_id", "g").collect()}
+    c2 = bm25.tokens(full, "doc_id", "text").join(docs, "doc_id")
+    fast = bm25.source_rank(c2, bm25.tokens(q, "q", "text").join(q.select("q", "g"), "q"), "doc_id", "q", "g")
+    assert {r["q"]: r["rank"] for r in fast.collect()} == got
     for k, text, g in qs:
         sc = plain_bm25(corpus, text)
         order = sorted(corpus, key=lambda d: (-round(sc.get(d, 0.0), 6), d))
