@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.functions import text as X
-from lexloom.operators.dedup import gram_sets, jaccard_pairs
+from lexloom.operators.dedup import jaccard_pairs, question_grams
 
 
 def shared_keys(rows: DataFrame, key: str, a: str = "train", b: str = "test") -> DataFrame:
@@ -25,7 +24,7 @@ def leaked_rows(rows: DataFrame, text: str, a: str = "train", b: str = "test") -
 def near_duplicates(rows: DataFrame, key: str, text: str, t: float = 0.8, a: str = "train", b: str = "test") -> DataFrame:
     """Keys of split b with a near duplicate in split a."""
     x = rows.where(F.col("split").isin(a, b))
-    sets = gram_sets(x, key, X.ngrams(X.norm(F.col(text)))).join(x.select(key, "split"), key)
+    sets = question_grams(x, key, text).join(x.select(key, "split"), key)
     return jaccard_pairs(sets, key, t, F.col("split") == b, F.col("split") == a).select(F.col("a").alias(key)).distinct()
 
 

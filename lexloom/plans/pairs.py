@@ -123,7 +123,7 @@ GRAMS = f"""{Q}, nt as (select qid, split, {N.format('question')} as t from qs w
 
 def question_sets(s, d) -> DataFrame:
     q = questions(s, d).where("question is not null")
-    return dedup.gram_sets(q, "qid", X.ngrams(X.norm(F.col("question"))))
+    return dedup.question_grams(q, "qid", "question")
 
 
 @query(f"with {GRAMS} select a, b, round(j, 6) as jaccard from ed")
@@ -139,7 +139,7 @@ def greedy_priority_dedup(s, d):
     q = materialize(q.select("qid", "question", "split"), "candidates")
     m = F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv])
     nodes = q.select("qid", F.try_element_at(m, F.col("split")).alias("priority"), "split")
-    edges = materialize(dedup.jaccard_pairs(dedup.gram_sets(q, "qid", X.ngrams(X.norm(F.col("question")))), "qid", 0.8), "edges")
+    edges = materialize(dedup.jaccard_pairs(dedup.question_grams(q, "qid", "question"), "qid", 0.8), "edges")
     out = dedup.greedy_keep(nodes, edges, "qid")
     of = q.select(F.col("qid").alias("duplicate_of"), F.col("split").alias("of_split"))
     x = out.where("duplicate_of is not null").join(of, "duplicate_of").join(q.select("qid", "split"), "qid")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -70,9 +71,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lexloom_path = path
+    sc = spark.sparkContext
+    if not hasattr(sc, "_lexloom_tables"):
+        sc._lexloom_tables = []
+        atexit.register(clean, spark)
+    sc._lexloom_tables.append(path)
     return out
 
 
+def clean(spark: SparkSession) -> None:
+    """Delete the stages written so far; called at the end of the application, or between independent queries."""
+    sc = spark.sparkContext
+    try:
+        for path in getattr(sc, "_lexloom_tables", []):
+            p = sc._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+        sc._lexloom_tables = []
+    except Exception:  # the session is gone already
+        pass
+
+
 def path_bytes(spark: SparkSession, path: str) -> int:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -32,7 +32,7 @@ def rows(n=120, seed=1):
 def test_jaccard_against_brute_force(spark):
     data = rows()
     df = spark.createDataFrame([*data, ("n1", None)], "qid string, question string").where("question is not null")
-    got = {(r["a"], r["b"]) for r in dedup.jaccard_pairs(dedup.gram_sets(df, "qid", X.ngrams(X.norm(F.col("question")))), "qid", 0.8).collect()}
+    got = {(r["a"], r["b"]) for r in dedup.jaccard_pairs(dedup.question_grams(df, "qid", "question"), "qid", 0.8).collect()}
     want = {(a, b) for a, x in data for b, y in data if a < b and jac(grams(x), grams(y)) >= 0.8}
     assert got == want and want
 
@@ -41,7 +41,7 @@ def test_greedy_scan(spark):
     data = rows(150, 3)
     prio = {k: i % 3 for i, (k, _) in enumerate(data)}
     df = spark.createDataFrame(data, "qid string, question string")
-    edges = dedup.jaccard_pairs(dedup.gram_sets(df, "qid", X.ngrams(X.norm(F.col("question")))), "qid", 0.7)
+    edges = dedup.jaccard_pairs(dedup.question_grams(df, "qid", "question"), "qid", 0.7)
     nodes = spark.createDataFrame(list(prio.items()), "qid string, priority int")
     got = {r["qid"]: r["duplicate_of"] for r in dedup.greedy_keep(nodes, edges, "qid").collect()}
     kept, want, text = [], {}, dict(data)
