@@ -94,7 +94,8 @@ def statute_bodies(prefix: str, text: str, paragraphs: list[dict], rules: ChunkR
             units.append(whole)
         elif head and n(head) <= rules.lead_tokens:
             room = budget - n(head + "\n")
-            units += [f"{head}\n{b}" for b in pack(_fit(lines, room, n), room, n)]
+            bodies = pack(_fit(lines, room, n), room, n)
+            units += [b if i == 0 and b.startswith(head) else f"{head}\n{b}" for i, b in enumerate(bodies)]
         else:
             units += pack(_fit(([head] if head else []) + lines, budget, n), budget, n)
     return pack(units, budget, n)
