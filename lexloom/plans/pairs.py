@@ -147,6 +147,22 @@ def greedy_priority_dedup(s, d):
     return x.select("qid", "duplicate_of", reason.alias("drop_reason"))
 
 
+def candidates(s, d) -> DataFrame:
+    """`qid`, `group_id`, `question`, `split` of the questions of every split that pass the rules and repeat no kept one.
+
+    Scanned as in greedy_priority_dedup; questions without a split come last, so that they change nothing for the others.
+    """
+    q = questions(s, d).where(pairs.rule_cascade(F.col("question")).isNull())
+    q = materialize(q.select("qid", "group_id", "question", "split"), "candidates")
+    rank = F.when(F.lit(False), F.lit(None).cast("int"))
+    for name, p in PRIORITY.items():
+        rank = rank.when(F.col("split") == name, p)
+    nodes = q.select("qid", rank.otherwise(len(PRIORITY)).alias("priority"))
+    edges = materialize(dedup.jaccard_pairs(dedup.question_grams(q, "qid", "question"), "qid", 0.8), "edges")
+    kept = dedup.greedy_keep(nodes, edges, "qid").where("duplicate_of is null").select("qid")
+    return materialize(q.join(kept, "qid"), "kept")
+
+
 @query(f"with {GRAMS} select distinct case when sa = 'test' then a else b end as qid from ed where (sa = 'test' and sb = 'train') or (sa = 'train' and sb = 'test')")
 def near_dup_cross_split(s, d):
     return audit.near_duplicates(questions(s, d).where("question is not null"), "qid", "question")

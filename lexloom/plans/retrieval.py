@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexloom.functions.text import words
 from lexloom.operators import bm25
 from lexloom.operators import ranking as R
-from lexloom.plans.pairs import questions
+from lexloom.plans.pairs import candidates, questions
 from lexloom.runtime import materialize, table
 
 QUERIES: dict = {}
@@ -100,6 +100,21 @@ def round_trip(s, d):
     return r.agg(F.round(flag(F.col("rank") <= 20), 4).alias("pass_rate"), F.round(flag(F.col("rank") == 1), 4).alias("recall_1"))
 
 
+@query()
+def candidate_ranks(s, d):
+    """Rank of the source document among all chunks for each candidate question of every split."""
+    q = candidates(s, d)
+    return source_ranks(s, d, q).join(q.select("qid", "split"), "qid").select("qid", "split", "rank")
+
+
+@query()
+def candidate_round_trip(s, d):
+    """round_trip over all candidate questions of every split; the rank is BM25's alone."""
+    flag = lambda c: F.round(F.avg(F.coalesce(c.cast("double"), F.lit(0.0))), 4)
+    r = F.col("rank")
+    return candidate_ranks(s, d).agg(flag(r <= 20).alias("pass_rate"), flag(r == 1).alias("recall_1"), F.count("*").alias("n_questions"))
+
+
 # dense
 
 
