@@ -6,10 +6,13 @@ first: its components, largest first, go to the split that needs most of that la
 then to the one that needs most records.
 
 Placing is sequential by nature, so it is divided: components of at least `giant` of
-all records (at most 1 / giant of them) are placed first, by one small task over the
-whole need; the others are dealt at random into shards of at most `shard_size`
-components, each with its share of what is still needed, and placed shard by shard in
-parallel. The error against the proportions is about one small component per shard.
+all records (at most 1 / giant of them) and, if there are several shards, those with a
+label of fewer than FEW components a shard (at most FEW x shards for each such label) are
+placed first, in one run over the whole need; the others are dealt at random into shards
+of at most `shard_size` components, each with its share of what is still needed, and placed
+shard by shard in parallel. The error against the proportions is up to about one small
+component per shard and label; the shards round alike, so that the errors of a label add up
+to about 1 / FEW of it.
 """
 
 from __future__ import annotations
@@ -24,6 +27,9 @@ from pyspark.sql import functions as F
 
 from lexloom.runtime import materialize, ship
 
+#: Components a shard of a label below which all of them are placed in the first run.
+FEW = 100
+
 
 def place(counts: np.ndarray, order_key: list, need: np.ndarray, need_all: np.ndarray) -> np.ndarray:
     """Iterative stratification. counts: components x labels; need: splits x labels (changed); returns the split of each."""
@@ -69,18 +75,22 @@ def grouped_split(
     shares = shares / shares.sum()
     m = len(labels)
     comp = materialize(components.withColumn("weight", F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x)), "components")
-    sums = comp.agg(F.count("*").alias("n"), F.sum("weight").alias("w"), *[F.sum(F.col("counts")[k]).alias(f"l{k}") for k in range(m)]).first()
+    sums = comp.agg(F.count("*").alias("n"), F.sum("weight").alias("w"), *[F.sum(F.col("counts")[k]).alias(f"l{k}") for k in range(m)], *[F.count_if(F.col("counts")[k] > 0).alias(f"n{k}") for k in range(m)]).first()
     if not sums["n"]:
         return comp.select("component", F.lit(None).cast("string").alias("split"))
     total = np.array([sums[f"l{k}"] or 0 for k in range(m)], float)
     need, need_all = np.outer(shares, total), shares * float(sums["w"] or 0)
     least = max(1, math.ceil(giant * (sums["w"] or 0)))
-    big = comp.where(F.col("weight") >= least).orderBy("component").toArrow()
+    first = F.col("weight") >= least
+    shards = max(1, math.ceil((sums["n"] - comp.where(first).count()) / shard_size))
+    if shards > 1:
+        for k in range(m):
+            if 0 < sums[f"n{k}"] < FEW * shards:
+                first = first | (F.col("counts")[k] > 0)
+    big = comp.where(first).orderBy("component").toArrow()
     bc = np.array(big["counts"].to_pylist(), np.int64).reshape(-1, m)
     names_big = big["component"].to_pylist()
     chosen = place(bc, [zlib.crc32(x.encode()) for x in names_big], need, need_all) if len(names_big) else np.empty(0, int)
-    rest = max(1, sums["n"] - len(names_big))
-    shards = max(1, math.ceil(rest / shard_size))
     need_s, need_all_s = np.maximum(need, 0) / shards, np.maximum(need_all, 0) / shards
 
     def run(tab: pa.Table) -> pa.Table:
@@ -90,7 +100,7 @@ def grouped_split(
         return pa.table({"component": ids, "split": [names[i] for i in at]})
 
     small = (
-        comp.where(F.col("weight") < least)
+        comp.where(~first)
         .select("component", "counts", F.pmod(F.xxhash64("component"), F.lit(shards)).alias("shard"))
         .groupBy("shard")
         .applyInArrow(run, "component string, split string")
