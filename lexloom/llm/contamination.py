@@ -26,9 +26,9 @@ def phrases(codes: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray,
     return w, item[inside]
 
 
-def find_spans(ids: list, codes: np.ndarray, off: np.ndarray, base: np.ndarray, windows: np.ndarray, item: np.ndarray) -> tuple:
-    """Merged spans (document number, item number, start, end) of the windows in one shard."""
-    n = len(ids)
+def find_spans(owner: np.ndarray, codes: np.ndarray, off: np.ndarray, base: np.ndarray, windows: np.ndarray, item: np.ndarray) -> tuple:
+    """Merged spans (document number, item number, start, end) of the windows in one shard. owner: the document of each piece."""
+    n = len(owner)
     with_sep = np.full(len(codes) + n, FMIndex.SEPARATOR, np.uint32)
     shift = np.repeat(np.arange(n), np.diff(off))
     with_sep[np.arange(len(codes)) + shift] = codes
@@ -44,7 +44,7 @@ def find_spans(ids: list, codes: np.ndarray, off: np.ndarray, base: np.ndarray,
         rows = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())
         at = index.locate(rows)
         d = np.searchsorted(begin, at, side="right") - 1
-        docs.append(d)
+        docs.append(owner[d])
         items.append(np.repeat(item[k + live], count))
         pos.append(at - begin[d] + base[d])
     if not docs:
@@ -88,16 +88,16 @@ def leaked_spans(docs: DataFrame, items: DataFrame, min_chars: int = 40, shard_c
             held, size = [], 0
 
             def flush():
-                names, texts, starts, sizes = [], [], [], []
-                for doc, c in held:
+                names, owner, texts, starts, sizes = [x for x, _ in held], [], [], [], []
+                for k, (_, c) in enumerate(held):
                     step = max(shard_chars, min_chars)
                     for s in range(0, max(1, len(c) - min_chars + 1), step):
-                        names.append(doc)
+                        owner.append(k)
                         starts.append(s)
                         texts.append(c[s : s + step + min_chars - 1])
                         sizes.append(len(texts[-1]))
                 all_ = np.concatenate(texts)
-                d, i, a, b = find_spans(names, all_, np.concatenate([[0], np.cumsum(sizes)]), np.array(starts), windows, item)
+                d, i, a, b = find_spans(np.array(owner), all_, np.concatenate([[0], np.cumsum(sizes)]), np.array(starts), windows, item)
                 return pa.RecordBatch.from_arrays(
                     [pa.array(np.array(names, np.int64)[d]), pa.array(ids[i]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))],
                     ["doc_id", "item_id", "start", "end"],
