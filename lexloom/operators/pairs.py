@@ -51,12 +51,16 @@ def wrong_pairs(questions: DataFrame, n: int, seed: int = 42) -> DataFrame:
 
     questions: `qid`, `chunk_id`, `group_id`. The sample is by hash; its partners are the
     next rows of a second hash order whose document differs, so that no cross join is formed.
+    The first chunks of two documents stand by for questions whose document owns all of these rows.
     """
     picked = questions.withColumn("h", X.seeded(seed, F.col("qid"))).orderBy("h", "qid").limit(n)
     pool = questions.select(F.col("chunk_id").alias("wrong_chunk_id"), F.col("group_id").alias("other")).distinct()
-    pool = pool.withColumn("h2", X.seeded(seed + 1, F.col("wrong_chunk_id"))).orderBy("h2", "wrong_chunk_id").limit(n + 64)
-    x = picked.join(F.broadcast(pool), F.col("group_id") != F.col("other"))  # at most n + 64 rows
-    w = Window.partitionBy("qid").orderBy(X.seeded(seed + 2, F.col("qid"), F.col("wrong_chunk_id")), "wrong_chunk_id")
+    pool = pool.withColumn("h2", X.seeded(seed + 1, F.col("wrong_chunk_id")))
+    spare = pool.where("other is not null").groupBy("other").agg(F.min(F.struct("h2", "wrong_chunk_id")).alias("s"))
+    spare = spare.select("s.wrong_chunk_id", "other", "s.h2").orderBy("h2", "wrong_chunk_id").limit(2).withColumn("spare", F.lit(True))
+    pool = pool.orderBy("h2", "wrong_chunk_id").limit(n + 64).withColumn("spare", F.lit(False)).unionByName(spare)
+    x = picked.join(F.broadcast(pool), F.col("group_id") != F.col("other"))  # at most n + 66 rows
+    w = Window.partitionBy("qid").orderBy("spare", X.seeded(seed + 2, F.col("qid"), F.col("wrong_chunk_id")), "wrong_chunk_id")
     return x.withColumn("r", F.row_number().over(w)).where("r = 1").select("qid", "chunk_id", "wrong_chunk_id")
 
 
