@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.operators.dedup import jaccard_pairs, question_grams
+from lexloom.operators.dedup import class_grams, jaccard_pairs, text_classes
+from lexloom.runtime import materialize, small
 
 
 def shared_keys(rows: DataFrame, key: str, a: str = "train", b: str = "test") -> DataFrame:
@@ -22,10 +23,15 @@ def leaked_rows(rows: DataFrame, text: str, a: str = "train", b: str = "test") -
 
 
 def near_duplicates(rows: DataFrame, key: str, text: str, t: float = 0.8, a: str = "train", b: str = "test") -> DataFrame:
-    """Keys of split b with a near duplicate in split a."""
-    x = rows.where(F.col("split").isin(a, b))
-    sets = question_grams(x, key, text).join(x.select(key, "split"), key)
-    return jaccard_pairs(sets, key, t, F.col("split") == b, F.col("split") == a).select(F.col("a").alias(key)).distinct()
+    """Keys of split b with a near duplicate in split a. Only classes of equal texts are compared, and told to their rows of split b."""
+    x = text_classes(rows.where(F.col("split").isin(a, b)).select(key, "split", text), key, text)
+    x = materialize(x.select(key, "split", "t", "cls"), "members")
+    cls = x.groupBy("cls").agg(F.min("t").alias("t"), F.bool_or(F.col("split") == a).alias("in_a"), F.bool_or(F.col("split") == b).alias("in_b"))
+    cls = materialize(cls, "classes")
+    sets = class_grams(cls.select("cls", "t")).join(cls.select("cls", "in_a", "in_b"), "cls")
+    found = jaccard_pairs(sets, "cls", t, F.col("in_b"), F.col("in_a")).select(F.col("a").alias("cls"))
+    found = found.unionByName(cls.where("in_a and in_b").select("cls")).distinct()
+    return x.where(F.col("split") == b).join(small(materialize(found, "found")), "cls", "left_semi").select(key).distinct()
 
 
 def duplicate_ids(df: DataFrame, key: str) -> DataFrame:

@@ -121,28 +121,43 @@ GRAMS = f"""{Q}, nt as (select qid, split, {N.format('question')} as t from qs w
     ed as (select a, b, sa, sb, c / (na + nb - c) as j from pr where c / (na + nb - c) >= 0.8)"""
 
 
-def question_sets(s, d) -> DataFrame:
-    q = questions(s, d).where("question is not null")
-    return dedup.question_grams(q, "qid", "question")
+CLASSES = f"""{GRAMS[:GRAMS.index("gs as")]}
+    cl as (select t, min(qid) as qid, count(*) as copies from nt group by t),
+    {GRAMS[GRAMS.index("gs as"):].replace("select qid, split, list", "select qid, '' as split, list").replace("from nt)", "from cl)")}"""
 
 
-@query(f"with {GRAMS} select a, b, round(j, 6) as jaccard from ed")
+@query(f"with {CLASSES} select a, b, round(j, 6) as jaccard, x.copies as copies_a, y.copies as copies_b from ed join cl x on x.qid = a join cl y on y.qid = b")
 def jaccard_pairs(s, d):
-    p = dedup.jaccard_pairs(question_sets(s, d), "qid", 0.8)
-    return p.select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    """Near-equal questions: pairs between the least ids of their classes of copies."""
+    p = dedup.similar_texts(questions(s, d), "qid", "question", 0.8)
+    return p.withColumn("jaccard", F.round("jaccard", 6))
 
 
-@query()
+def scanned(q: DataFrame) -> DataFrame:
+    """`qid`, `duplicate_of` of the greedy scan test, val, train; questions without a split come last."""
+    rank = F.when(F.lit(False), F.lit(None).cast("int"))
+    for name, p in PRIORITY.items():
+        rank = rank.when(F.col("split") == name, p)
+    return dedup.greedy_dedup(q.select("qid", "question", rank.otherwise(len(PRIORITY)).alias("priority")), "qid", "question", 0.8)
+
+
+@query(
+    f"""with recursive {GRAMS.replace("where question is not null", f"where split is not null and question is not null and ({DROP}) is null")},
+    od as (select qid, split, row_number() over (order by case split when 'test' then 0 when 'val' then 1 else 2 end, qid) as i from nt),
+    ee as (select greatest(x.i, y.i) as i, least(x.i, y.i) as j from ed join od x on x.qid = a join od y on y.qid = b),
+    nn as (select i, list(j) as js, row_number() over (order by i) as k from ee group by i),
+    st(k, dropped) as (select 0::bigint, []::bigint[] union all
+        select st.k + 1, case when len(list_filter(nn.js, lambda j: not list_contains(st.dropped, j))) > 0 then list_append(st.dropped, nn.i) else st.dropped end from st join nn on nn.k = st.k + 1),
+    dr as (select unnest(dropped) as i from st where k = (select max(k) from st)),
+    hit as (select ee.i, min(ee.j) as j from ee join dr on dr.i = ee.i where ee.j not in (select i from dr) group by ee.i)
+    select x.qid, y.qid as duplicate_of, case when x.split = y.split then 'duplicate' else 'duplicate_of_' || y.split end as drop_reason from hit join od x on x.i = hit.i join od y on y.i = hit.j"""
+)
 def greedy_priority_dedup(s, d):
     """Questions that pass the rules, scanned test, val, train; the dropped ones name the kept one they repeat."""
     q = questions(s, d).where("split is not null").withColumn("drop", pairs.rule_cascade(F.col("question"))).where("drop is null")
     q = materialize(q.select("qid", "question", "split"), "candidates")
-    m = F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv])
-    nodes = q.select("qid", F.try_element_at(m, F.col("split")).alias("priority"), "split")
-    edges = materialize(dedup.jaccard_pairs(dedup.question_grams(q, "qid", "question"), "qid", 0.8), "edges")
-    out = dedup.greedy_keep(nodes, edges, "qid")
     of = q.select(F.col("qid").alias("duplicate_of"), F.col("split").alias("of_split"))
-    x = out.where("duplicate_of is not null").join(of, "duplicate_of").join(q.select("qid", "split"), "qid")
+    x = scanned(q).where("duplicate_of is not null").join(of, "duplicate_of").join(q.select("qid", "split"), "qid")
     reason = F.when(F.col("split") == F.col("of_split"), "duplicate").otherwise(F.concat(F.lit("duplicate_of_"), F.col("of_split")))
     return x.select("qid", "duplicate_of", reason.alias("drop_reason"))
 
@@ -154,12 +169,7 @@ def candidates(s, d) -> DataFrame:
     """
     q = questions(s, d).where(pairs.rule_cascade(F.col("question")).isNull())
     q = materialize(q.select("qid", "group_id", "question", "split"), "candidates")
-    rank = F.when(F.lit(False), F.lit(None).cast("int"))
-    for name, p in PRIORITY.items():
-        rank = rank.when(F.col("split") == name, p)
-    nodes = q.select("qid", rank.otherwise(len(PRIORITY)).alias("priority"))
-    edges = materialize(dedup.jaccard_pairs(dedup.question_grams(q, "qid", "question"), "qid", 0.8), "edges")
-    kept = dedup.greedy_keep(nodes, edges, "qid").where("duplicate_of is null").select("qid")
+    kept = scanned(q).where("duplicate_of is null").select("qid")
     return materialize(q.join(kept, "qid"), "kept")
 
 

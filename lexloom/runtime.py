@@ -7,11 +7,15 @@ import os
 import tempfile
 import uuid
 import zipfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Largest table, in bytes of Parquet, that may be broadcast.
 BROADCAST_BYTES = 16 << 20
+#: Rows of one join key that a task may get.
+HOT_ROWS = 1 << 20
 
 
 def local_session(cpus: int | str = 8, app: str = "lexloom", shuffle: int = 8) -> SparkSession:
@@ -97,11 +101,44 @@ def path_bytes(spark: SparkSession, path: str) -> int:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
 
 
+def memory_bytes(df: DataFrame) -> int:
+    """Size of a frame's rows in memory: lengths of its strings, 8 bytes for every other value, 32 for each row."""
+    parts = [F.lit(32)]
+    for f in df.schema:
+        c, kind = F.col(f"`{f.name}`"), f.dataType.typeName()
+        if kind in ("string", "binary"):
+            parts.append(F.coalesce(F.octet_length(c), F.lit(0)) + 8)
+        elif kind in ("array", "map", "struct"):
+            parts.append(F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)))
+        else:
+            parts.append(F.lit(8))
+    return df.select(F.sum(reduce(lambda x, y: x + y, parts).cast("bigint"))).first()[0] or 0
+
+
+def fits(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether a frame from `materialize` may be broadcast: by its written size, and if that is under the limit by its size in memory."""
+    return path_bytes(df.sparkSession, df._lexloom_path) <= limit and memory_bytes(df) <= 4 * limit
+
+
 def small(df: DataFrame, limit: int = BROADCAST_BYTES):
-    """The frame itself with a broadcast hint if its written size is under the limit, else unchanged.
+    """The frame itself with a broadcast hint if it `fits`, else unchanged. Only for frames from `materialize`."""
+    return F.broadcast(df) if fits(df, limit) else df
 
-    Only for frames from `materialize`, whose size is known exactly.
-    """
-    from pyspark.sql import functions as F
 
-    return F.broadcast(df) if path_bytes(df.sparkSession, df._lexloom_path) <= limit else df
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], n: str, hot: int = HOT_ROWS) -> DataFrame:
+    """Inner join in which no task gets more than about `hot` rows of one key of `left`.
+
+    right: from `materialize`, unique by `on`, with the number `n` of left rows of each key. A
+    right side that fits is broadcast. Else the rows of a hot key are dealt by hash to as many
+    places as it needs, and only its row on the right is repeated; there are at most (rows of
+    left) / `hot` such keys.
+    """
+    if fits(right):
+        return left.join(F.broadcast(right), on)
+    keys = materialize(right.where(F.col(n) > hot).select(*on, F.ceil(F.col(n) / hot).cast("int").alias("_places")), "hot-keys")
+    if not keys.limit(1).count():
+        return left.join(right, on)
+    deal = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.col("_places"))
+    spread = left.join(small(keys), on, "left").withColumn("_place", F.coalesce(deal, F.lit(0)).cast("int")).drop("_places")
+    every = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col(n) / hot).cast("int"), F.lit(1)) - 1))
+    return spread.join(right.withColumn("_place", every), [*on, "_place"]).drop("_place")

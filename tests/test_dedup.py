@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import text as X
 from lexloom.operators import audit, dedup
+from lexloom.runtime import materialize
 
 
 def grams(s):
@@ -32,8 +33,17 @@ def rows(n=120, seed=1):
 def test_jaccard_against_brute_force(spark):
     data = rows()
     df = spark.createDataFrame([*data, ("n1", None)], "qid string, question string").where("question is not null")
-    got = {(r["a"], r["b"]) for r in dedup.jaccard_pairs(dedup.question_grams(df, "qid", "question"), "qid", 0.8).collect()}
-    want = {(a, b) for a, x in data for b, y in data if a < b and jac(grams(x), grams(y)) >= 0.8}
+    least, copies = {}, {}
+    for k, x in data:
+        n = "".join(c for c in x if c.isalnum())
+        least.setdefault(n, k)
+        copies[least[n]] = copies.get(least[n], 0) + 1
+    names = set(least.values())
+    want = {(a, b, copies[a], copies[b]) for a, x in data for b, y in data if a < b and {a, b} <= names and jac(grams(x), grams(y)) >= 0.8}
+    for hot in (4096, 3):
+        sets = materialize(dedup.class_grams(dedup.text_classes(df, "qid", "question").select("cls", "t").distinct()), "test")
+        assert dedup.jaccard_pairs(sets, "cls", 0.8, hot=hot).count() == len(want)
+    got = {(r["a"], r["b"], r["copies_a"], r["copies_b"]) for r in dedup.similar_texts(df, "qid", "question", 0.8).collect()}
     assert got == want and want
 
 
@@ -41,9 +51,9 @@ def test_greedy_scan(spark):
     data = rows(150, 3)
     prio = {k: i % 3 for i, (k, _) in enumerate(data)}
     df = spark.createDataFrame(data, "qid string, question string")
-    edges = dedup.jaccard_pairs(dedup.question_grams(df, "qid", "question"), "qid", 0.7)
-    nodes = spark.createDataFrame(list(prio.items()), "qid string, priority int")
-    got = {r["qid"]: r["duplicate_of"] for r in dedup.greedy_keep(nodes, edges, "qid").collect()}
+    nodes = spark.createDataFrame([*prio.items(), ("null", 0)], "qid string, priority int").join(df, "qid", "left")
+    got = {r["qid"]: r["duplicate_of"] for r in dedup.greedy_dedup(nodes, "qid", "question", 0.7).collect()}
+    assert got.pop("null") is None
     kept, want, text = [], {}, dict(data)
     for k in sorted(text, key=lambda k: (prio[k], k)):
         hit = next((x for x in kept if jac(grams(text[k]), grams(text[x])) >= 0.7), None)
@@ -59,6 +69,14 @@ def test_chain_keeps_both_ends(spark):
     assert {r["k"]: r["duplicate_of"] for r in dedup.greedy_keep(nodes, edges, "k").collect()} == {"a": None, "b": "a", "c": None, "d": None}
 
 
+def test_long_chain_is_settled(spark):
+    n = 25
+    nodes = spark.createDataFrame([(f"k{i:03d}", 0) for i in range(n)], "k string, priority int")
+    edges = spark.createDataFrame([(f"k{i:03d}", f"k{i + 1:03d}") for i in range(n - 1)], "a string, b string")
+    got = {r["k"]: r["duplicate_of"] for r in dedup.greedy_keep(nodes, edges, "k").collect()}
+    assert got == {f"k{i:03d}": f"k{i - 1:03d}" if i % 2 else None for i in range(n)}
+
+
 def test_ngram_edges(spark):
     df = spark.createDataFrame([("ab",), ("",), ("abcd",), ("a b-c",)], "s string")
     assert [sorted(r[0]) for r in df.select(X.ngrams(X.norm(F.col("s")))).collect()] == [["ab"], [""], ["abc", "bcd"], ["abc"]]
