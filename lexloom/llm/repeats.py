@@ -3,17 +3,19 @@
 A run of L characters that two texts share holds a whole block of B <= L / 2 characters
 of the reference blocks at 0, B, 2B ... of either text. So:
 
-1. The reference blocks of all texts set bits in a filter of bounded size.
-2. Every rolling window of B characters probes the filter; what it lets through, and the
-   reference blocks, meet by hash. A block of one text that also stands in another one is
-   an anchor there and here. Beyond the filter's bound all windows go to the meeting.
+1. The reference blocks of all texts set bits in filters of bounded size, one for each range
+   of hashes; there are as many ranges as the blocks need, so that a filter never fills up.
+2. Every rolling window of B characters probes the filter of its range, a pass over the texts
+   for each filter; what it lets through, and the reference blocks, meet by hash. A block of
+   one text that also stands in another one is an anchor there and here.
 3. Around the anchors, hits are extended: each window of L characters that holds an anchor
    is looked for in other texts by its 128-bit hash. The union of the windows found in
    more than one text are the maximal repeats of at least L characters.
 
 Meeting is by least and greatest text of each hash, aggregated before the shuffle; no
-pairs are formed, and a passage of a third of all records is no hot group. Texts that
-are equal as a whole are one text with several records, shared as a whole.
+pairs are formed, and the rows of a passage of a third of all records are spread over
+many tasks where they learn that it is shared. Texts that are equal as a whole are one
+text with several records, shared as a whole.
 """
 
 from __future__ import annotations
@@ -26,10 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm.forms import stretches
-from lexloom.runtime import materialize, ship, small
+from lexloom.runtime import fits, materialize, ship, small, spread_join
 
-FILTER_BITS = 1 << 28
-BITS_PER_BLOCK = 24
+#: Bits of one filter, which is what is broadcast at a time; bits for each block, and how many of them it sets.
+FILTER_BITS, BITS_PER_BLOCK, PROBES = 1 << 29, 12, 3
+#: Bits of a filter that are packed in one row.
+SEGMENT = 1 << 17
 MUL = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -95,27 +99,39 @@ def _parts(batches):
             yield texts[i:j]
 
 
-def _blocks(block: int, bits: int):
+def _range(h: np.ndarray, ranges: int) -> np.ndarray:
+    """Range of each hash, by its upper half."""
+    return ((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+
+
+def _slots(h: np.ndarray, bits: int, k: int) -> np.ndarray:
+    return _mix(h, 11 + k) & np.uint64(bits - 1)
+
+
+def _blocks(block: int, bits: int, ranges: int, now: int):
+    """Bits that the reference blocks of one range set: number and bits of each segment that has any."""
+
     def run(batches):
         for texts in _parts(batches):
             codes, off = _batch(texts)
             h, _, pos = _windows(codes, off, block)
-            slot = np.unique(h[pos % block == 0] & np.uint64(bits - 1)).astype(np.int64)
-            seg = slot >> 13
-            yield pa.RecordBatch.from_arrays([pa.array(seg), pa.array((slot & 8191).astype(np.int32))], ["seg", "bit"])
+            h = h[pos % block == 0]
+            h = h[_range(h, ranges) == now] if ranges > 1 else h
+            slot = np.unique(np.concatenate([_slots(h, bits, k) for k in range(PROBES)])).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((slot // SEGMENT).astype(np.int32)), pa.array((slot % SEGMENT).astype(np.int32))], ["seg", "bit"])
 
     return run
 
 
 def _segment(tab: pa.Table) -> pa.Table:
-    bits = np.zeros(8192, np.uint8)
+    bits = np.zeros(SEGMENT, np.uint8)
     bits[tab["bit"].to_numpy()] = 1
     return pa.table({"seg": tab["seg"][:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
 
-def _probe(block: int, bits: int, bc):
+def _probe(block: int, bits: int, ranges: int, now: int, bc):
     def run(batches):
-        bitmap = np.frombuffer(bc.value, np.uint8) if bc is not None else None
+        bitmap = np.frombuffer(bc.value, np.uint8)
         seen: set = set()
         for texts in _parts(batches):
             cids = [_cid(t) for t in texts]
@@ -127,21 +143,43 @@ def _probe(block: int, bits: int, bc):
             texts, cids = [texts[i] for i in fresh], [cids[i] for i in fresh]
             codes, off = _batch(texts)
             h, doc, pos = _windows(codes, off, block)
-            ref = pos % block == 0
-            if bitmap is not None:
-                slot = h & np.uint64(bits - 1)
-                ref |= (bitmap[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
-            else:
-                ref[:] = True
-            h, doc, pos = h[ref], doc[ref], pos[ref]
+            at = np.flatnonzero(_range(h, ranges) == now) if ranges > 1 else np.arange(len(h))
+            for k in range(PROBES):
+                slot = _slots(h[at], bits, k)
+                at = at[(bitmap[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), pa.array([cids[i] for i in doc], pa.binary()), pa.array(pos.astype(np.int32)), pa.array(pos % block == 0)],
+                [pa.array(h[at].view(np.int64)), pa.array([cids[i] for i in doc[at]], pa.binary()), pa.array(pos[at].astype(np.int32)), pa.array(pos[at] % block == 0)],
                 ["h", "cid", "pos", "ref"],
             )
 
     return run
 
 
+def probe(texts: DataFrame, block: int, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """`h`, `cid`, `pos`, `ref` of the windows that a filter lets through, reference blocks among them.
+
+    One pass over the texts for each range of hashes; what a pass finds is written before the
+    next one, and its filter is taken back from the tasks.
+    """
+    spark = texts.sparkSession
+    size = texts.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    want = size // block * BITS_PER_BLOCK
+    ranges = max(1, -(-want // filter_bits))
+    bits = max(1 << 17, 1 << max(0, -(-want // ranges) - 1).bit_length())
+    out = None
+    for now in range(ranges):
+        segs = texts.mapInArrow(_blocks(block, bits, ranges, now), "seg int, bit int").distinct()
+        got = segs.groupBy("seg").applyInArrow(_segment, "seg int, bits binary").toArrow()  # at most bits / 8 bytes
+        bitmap = np.zeros(bits // 8, np.uint8)
+        for seg, packed in zip(got["seg"].to_pylist(), got["bits"].to_pylist()):
+            bitmap[seg * (SEGMENT // 8) :][: SEGMENT // 8] = np.frombuffer(packed, np.uint8)
+        bc = spark.sparkContext.broadcast(bitmap.tobytes())
+        hits = materialize(texts.mapInArrow(_probe(block, bits, ranges, now, bc), "h bigint, cid binary, pos int, ref boolean"), "probes")
+        bc.destroy()
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
 def _starts(anchors: np.ndarray, size: int, block: int, length: int) -> np.ndarray:
     """Starts of the windows of `length` characters that hold an anchor."""
     edge = np.zeros(size + 2, np.int32)
@@ -188,32 +226,25 @@ def shared_spans(docs: DataFrame, length: int = 200, block: int | None = None, f
     block = block or length // 2
     rows = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & (F.char_length("text") >= length))
     texts = rows.select("text")
-    size = rows.agg(F.sum(F.char_length("text"))).first()[0] or 0
-    want = max(1 << 16, int(size / block * BITS_PER_BLOCK))
-    bits = 1 << min(want - 1, filter_bits).bit_length()
-    bc = None
-    if bits <= filter_bits:
-        segs = texts.mapInArrow(_blocks(block, bits), "seg bigint, bit int").distinct()
-        got = segs.groupBy("seg").applyInArrow(_segment, "seg bigint, bits binary").toArrow()  # at most filter_bits / 8 bytes
-        bitmap = np.zeros(bits // 8, np.uint8)
-        for s, x in zip(got["seg"].to_pylist(), got["bits"].to_pylist()):
-            bitmap[s * 1024 : (s + 1) * 1024] = np.frombuffer(x, np.uint8)
-        bc = spark.sparkContext.broadcast(bitmap.tobytes())
-    hits = materialize(texts.mapInArrow(_probe(block, bits, bc), "h bigint, cid binary, pos int, ref boolean"), "probes")
-    met = hits.groupBy("h").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.max("ref").alias("ref"))
-    met = materialize(met.where("ref and lo <> hi").select("h"), "met")
-    anchors = hits.join(small(met), "h").groupBy("cid").agg(F.collect_set("pos").alias("anchors"))
+    hits = probe(texts, block, filter_bits)
+    met = hits.groupBy("h").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.max("ref").alias("ref"), F.count("*").alias("n"))
+    met = materialize(met.where("ref and lo <> hi").select("h", "n"), "met")
+    anchors = spread_join(hits.select("h", "cid", "pos"), met, ["h"], "n").groupBy("cid").agg(F.collect_set("pos").alias("anchors"))
     anchors = materialize(anchors, "anchors")
     named = texts.withColumn("cid", F.unhex(F.md5(F.col("text").cast("binary"))))
-    one = named.join(small(anchors), "cid").groupBy("cid").agg(F.min("text").alias("text"), F.first("anchors").alias("anchors"))
+    if fits(anchors):
+        one = named.join(F.broadcast(anchors), "cid").groupBy("cid").agg(F.min("text").alias("text"), F.first("anchors").alias("anchors"))
+    else:  # copies are gone before the texts meet their anchors
+        one = named.groupBy("cid").agg(F.min("text").alias("text")).join(anchors, "cid")
     wins = materialize(one.select("cid", "text", "anchors").mapInArrow(_extend(block, length), "h1 bigint, h2 bigint, cid binary, pos int"), "windows")
-    both = wins.groupBy("h1", "h2").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo <> hi").select("h1", "h2")
+    both = wins.groupBy("h1", "h2").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("h1", "h2", "n")
+    both = materialize(both, "shared-windows")
 
     def cover(tab: pa.Table) -> pa.Table:
         a, b = covered(np.sort(tab["pos"].to_numpy()), length)
         return pa.table({"cid": tab["cid"][:1], "chars": [int((b - a).sum())], "spans": [len(a)], "longest": [int((b - a).max())]})
 
-    per = wins.join(both, ["h1", "h2"]).select("cid", "pos").groupBy("cid").applyInArrow(cover, "cid binary, chars bigint, spans bigint, longest bigint")
+    per = spread_join(wins, both, ["h1", "h2"], "n").select("cid", "pos").groupBy("cid").applyInArrow(cover, "cid binary, chars bigint, spans bigint, longest bigint")
     per = materialize(per, "covered")
     ids = rows.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("cid"), F.char_length("text").cast("bigint").alias("n")).distinct()
     ids = materialize(ids, "texts")
