@@ -10,17 +10,17 @@
 from __future__ import annotations
 
 import base64
-import math
 import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.runtime import materialize, ship
+from lexloom.runtime import HOT_ROWS, materialize, ship, spread_join
 
 TOKENIZERS = "/opt/tokenizers"
 # Fixed value: the pre-token pattern of the byte-level vocabularies.
@@ -96,7 +96,7 @@ def _encode_words(bc):
         enc = encoder(bc.value)
         for b in batches:
             ids = [enc._encode_single_piece(w) for w in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "ids"])
 
     return run
 
@@ -134,7 +134,7 @@ def _assemble(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table([pa.chunked_array(docs), pa.chunked_array(ids)], schema=schema)
 
 
-def encode_corpus(df: DataFrame, key: str, text: str, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def encode_corpus(df: DataFrame, key: str, text: str, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS, block_chars: int = BLOCK_CHARS, hot: int = HOT_ROWS) -> DataFrame:
     """`doc_id` bigint, `ids` array<int> of every row, without special tokens.
 
     Null and empty texts have an empty list. Repeated rows are encoded each. An empty
@@ -147,29 +147,33 @@ def encode_corpus(df: DataFrame, key: str, text: str, tokenizer: str = "byte_bpe
         rows.mapInArrow(_blocks(block_chars), "block bigint, words array<string>, docs array<bigint>, lens array<int>, places binary"), "blocks"
     )
     places = blocks.select("block", F.posexplode("words").alias("local", "word"))
-    salts = max(1, math.ceil(blocks.count() / 4096))  # a word of every block would else meet in one task
     bc = spark.sparkContext.broadcast(read_ranks(tokenizer, folder))
-    coded = places.select("word").distinct().mapInArrow(_encode_words(bc), "word string, ids array<int>")
-    if salts > 1:
-        coded = coded.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = places.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int")).join(coded, ["word", "salt"])
-    else:
-        joined = places.join(coded, "word")
-    words = joined.select("block", "local", "ids")
+    # each distinct word with the number of its blocks; only a word of very many blocks is repeated, for as many tasks as it needs
+    words = places.groupBy("word").agg(F.count("*").alias("n"))
+    coded = materialize(words.mapInArrow(_encode_words(bc), "word string, n bigint, ids array<int>"), "words")
+    words = spread_join(places, coded, ["word"], "n", hot).select("block", "local", "ids")
     docs = blocks.select(F.col("block").alias("home"), "docs", "lens", "places")
     return docs.groupBy("home").cogroup(words.groupBy("block")).applyInArrow(_assemble, "doc_id bigint, ids array<int>")
 
 
 def decode(ids: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
-    """`doc_id`, `text` of encoded rows, by the table of the tokens' bytes (at most one row per vocabulary entry, broadcast)."""
+    """`doc_id`, `text` of encoded rows, by a join with the table of the tokens' bytes.
+
+    The table has one row per vocabulary entry, so that it is broadcast; a batch's ids take
+    their bytes from it as one Arrow column. A null list gives an empty text; ids that aren't
+    the whole of a character's bytes give the replacement character.
+    """
     spark = ids.sparkSession
     ship(spark)
     bc = spark.sparkContext.broadcast(read_ranks(tokenizer, folder))
 
     def run(batches):
-        of = {v: k for k, v in _parse(bc.value).items()}
+        ranks = _parse(bc.value)
+        table = pa.array([k for k, _ in sorted(ranks.items(), key=lambda x: x[1])], pa.binary())
         for b in batches:
-            texts = [b"".join(of[i] for i in x or []).decode("utf-8", "replace") for x in b.column(1).to_pylist()]
+            lists = b.column(1).cast(pa.list_(pa.int32()))
+            parts = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))]), pa.int32()), table.take(lists.flatten()))
+            texts = [x.decode("utf-8", "replace") for x in pc.binary_join(parts, b"").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return ids.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
