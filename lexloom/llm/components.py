@@ -5,23 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.runtime import materialize
+from lexloom.runtime import materialize, spread_join
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """links: `a`, `b` (any comparable type, nulls ignored) -> `node`, `component` (its least node).
 
     Each round every node takes the least label of itself and its neighbours, hooks that
     label onto its old label, and jumps to the label's label, so that long chains shorten
     by a factor in each round. Every round is written to the shared folder; the loop ends
-    when no label changes. Groups are aggregated with partial minima, so a node of very
-    high degree is no hot task.
+    when no label changes. Minima are partial before each shuffle, and where the links take
+    up the labels, those of a node of very high degree are spread over many tasks.
     """
     e = links.where("a is not null and b is not null and a <> b").select("a", "b")
     e = materialize(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    degree = materialize(e.groupBy("b").agg(F.count("*").alias("n")), "degrees")
     lab = materialize(e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), "labels")
-    for _ in range(max_rounds):
-        near = e.join(lab.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "component")
+    while True:
+        near = spread_join(e, materialize(lab.withColumnRenamed("node", "b").join(degree, "b"), "labels"), ["b"], "n").select(F.col("a").alias("node"), "component")
         both = near.unionByName(lab)
         new = both.groupBy("node").agg(F.min("component").alias("component"))
         # hooking: the old label learns the new one
@@ -36,4 +37,3 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         lab = new
         if not changed:
             return lab
-    raise RuntimeError("components didn't settle")

@@ -72,9 +72,20 @@ def test_encode_and_decode(spark):
     for row in got:
         assert row["ids"] == t.encode(texts[row["doc_id"]] or "", add_special_tokens=False).ids
     assert all(x["text"] == (texts[x["doc_id"]] or "") for x in E.decode(enc).collect())
+    assert {x["doc_id"]: x["text"] for x in E.decode(spark.createDataFrame([(1, None), (2, [224])], "doc_id long, ids array<int>")).collect()} == {1: "", 2: "\ufffd"}
     assert E.encode_corpus(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_word_of_many_blocks(spark, monkeypatch):
+    """A word of more blocks than a task may get is repeated; a rare one isn't."""
+    texts = [f"the word{i} the" for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {x["doc_id"]: x["ids"] for x in E.encode_corpus(df, "doc_id", "text").collect()}
+    monkeypatch.setattr("lexloom.runtime.fits", lambda d, limit=0: False)
+    got = E.encode_corpus(df, "doc_id", "text", block_chars=5, hot=7)
+    assert {x["doc_id"]: x["ids"] for x in got.collect()} == want and all(want.values())
+
+
 # FM-index
 
 
@@ -141,8 +152,13 @@ def brute_shared(docs, n):
     return out
 
 
-@pytest.mark.parametrize("bits", [1 << 28, 1 << 10])
-def test_shared_spans(spark, bits):
+@pytest.mark.parametrize("bits,narrow", [(1 << 29, False), (1 << 10, False), (1 << 10, True)])
+def test_shared_spans(spark, bits, narrow, monkeypatch):
+    """Also with several ranges, and with joins of which no side is small and every key hot."""
+    if narrow:
+        for m in ("lexloom.runtime", "lexloom.llm.repeats"):
+            monkeypatch.setattr(f"{m}.fits", lambda d, limit=0: False)
+        monkeypatch.setattr("lexloom.runtime.spread_join.__defaults__", (2,))
     r = random.Random(6)
     word = lambda n: "".join(r.choice("가나다라 .") for _ in range(n))
     parts = [word(r.randint(15, 60)) for _ in range(12)]
