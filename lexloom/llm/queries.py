@@ -126,25 +126,17 @@ def _sides_chunks(spark, d) -> DataFrame:
 
 
 def cross_split_pairs(rows: DataFrame, t: float = THRESHOLD) -> DataFrame:
-    """Pairs of keys with a similarity of at least t, one in train and one held out. rows: key, text, side."""
+    """`left` (held out), `right` (train), `similarity`, `containment` of pairs of different keys with a similarity of at least t. rows: key, text, side."""
     prep = simjoin.prepare(rows)
-    p = simjoin.member_pairs(prep, simjoin.similar_classes(prep, t, two_sided=True))
-    cross = F.col("side_a").bitwiseOR(F.col("side_b")) == (TRAIN | HELD_OUT)
-    return p.where(cross)
+    return simjoin.cross_pairs(prep, simjoin.similar_classes(prep, t, two_sided=True))
 
 
 def p5_overlaps(spark: SparkSession, d: str) -> DataFrame:
     """All overlaps: field, the held-out and the train key, similarity, and how much of the held-out record the train record contains."""
     out = None
     for field, rows in (("question", _sides_questions(spark, d)), ("chunk_text", _sides_chunks(spark, d))):
-        p = cross_split_pairs(rows)
-        a_held = F.col("side_a").bitwiseAND(F.lit(HELD_OUT)) > 0
-        x = p.select(
-            F.lit(field).alias("field"),
-            F.when(a_held, F.col("key_a")).otherwise(F.col("key_b")).alias("eval_key"),
-            F.when(a_held, F.col("key_b")).otherwise(F.col("key_a")).alias("train_key"),
-            F.round("similarity", 6).alias("similarity"),
-            F.round(F.when(a_held, F.col("contained_a")).otherwise(F.col("contained_b")), 6).alias("containment"),
+        x = cross_split_pairs(rows).select(
+            F.lit(field).alias("field"), F.col("left").alias("eval_key"), F.col("right").alias("train_key"), F.round("similarity", 6).alias("similarity"), F.round("containment", 6).alias("containment")
         ).distinct()
         out = x if out is None else out.unionByName(x)
     return out
@@ -154,7 +146,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """The overlapping pairs in key order."""
     out = None
     for field, rows in (("question", _sides_questions(spark, d)), ("chunk_text", _sides_chunks(spark, d))):
-        x = cross_split_pairs(rows).select(F.lit(field).alias("field"), "key_a", "key_b").distinct()
+        x = cross_split_pairs(rows).select(F.lit(field).alias("field"), F.least("left", "right").alias("key_a"), F.greatest("left", "right").alias("key_b")).distinct()
         out = x if out is None else out.unionByName(x)
     return out
 

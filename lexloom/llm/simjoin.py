@@ -34,12 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm.forms import bare_codes, stretches
-from lexloom.runtime import materialize, ship, small
+from lexloom.runtime import materialize, ship, small, spread_join
 
 SLOTS = 1 << 20
 MAX_WIDTH = 12
 CHUNK = 1 << 19
-BUCKET_BYTES = 48 << 20
+#: Bytes of packed postings in a bucket.
+BUCKET_BYTES = 64 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -90,22 +91,59 @@ def slot_counts(texts: DataFrame) -> np.ndarray:
     return out
 
 
-SIGNATURE = "bucket bigint, cids binary, n binary, side binary, sketch binary, lens binary, keys binary"
+SIGNATURE = "bucket bigint, ids binary, n binary, side binary, sketch binary, lens binary, keys binary"
 
 
 def _width(n: np.ndarray) -> np.ndarray:
-    """Binary logarithm of the sketch's bits: about as many bits as pieces, from 64 to 2 ** MAX_WIDTH."""
-    return np.clip(np.ceil(np.log2(np.maximum(n, 1))), 6, MAX_WIDTH).astype(np.int64)
+    """Binary logarithm of the sketch's bits, from 64 to 2 ** MAX_WIDTH: the least at which sets that share
+    little differ in more bits than similar ones may, by some four standard deviations."""
+    return np.clip(np.ceil(np.log2(np.maximum(n, 1) / 1.7)), 6, MAX_WIDTH).astype(np.int64)
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    """Numbers in two bytes each if all fit, else in four; `_widened` tells by the length."""
+    return x.astype(np.uint16 if not len(x) or x.max() < 1 << 16 else np.uint32).tobytes()
+
+
+def _widened(rows: list[bytes], counts: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.frombuffer(r, np.uint16 if len(r) == 2 * c else np.uint32).astype(np.int64) for r, c in zip(rows, counts)])
+
+
+def rarity(counts: np.ndarray) -> np.ndarray:
+    """Place of each slot in the order from rare to frequent, by the full counts."""
+    rank = np.empty(SLOTS, np.uint32)
+    rank[np.argsort(counts, kind="stable")] = np.arange(SLOTS, dtype=np.uint32)
+    return rank
+
+
+def places_of(key: np.ndarray, often: np.ndarray, ids: np.ndarray, buckets: int, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """Posting number and bucket of each place a posting goes to.
+
+    An ordinary list lies in one bucket. A list of more than `hot` postings is cut into blocks
+    by its records' ids, and each posting goes to the place of every pair of blocks that its
+    own block is in.
+    """
+    parts = np.maximum(-(-often // hot), 1)
+    at = np.repeat(np.arange(len(key)), parts)
+    other = np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)
+    n = parts[at]
+    mine = (ids[at] % n.astype(np.uint64)).astype(np.int64)
+    pair = np.minimum(mine, other) * n + np.maximum(mine, other)
+    k = key[at].astype(np.int64)
+    spread = buckets + (_mix((k.astype(np.uint64) << np.uint64(20)) ^ pair.astype(np.uint64)) >> np.uint64(24)).astype(np.int64)
+    return at, np.where(n == 1, k % buckets, spread)
 
 
 def _signatures(counts_bc, t: float, buckets: int, hot: int):
     """For each bucket, the texts of a block that go there, as packed arrays in one row.
 
-    Pieces are sorted as packed 64-bit keys: number of the text, rarity, hash. A text's set
-    is known by 54 bits of its pieces' hashes; lists by 32 bits, which can only add candidates.
+    Pieces are sorted as packed 64-bit keys: number of the text, rarity of the slot, rest of the
+    hash. A text's set is known by 54 bits of its pieces' hashes; lists by 32 bits, which can only
+    add candidates; texts by 64 bits of their names, which together with size and sketch can
+    only add candidates either.
     """
 
-    def block(texts, sides, cids, counts):
+    def block(texts, sides, cids, counts, rank, slot_at):
         doc, g = pieces(texts, distinct=False)
         if not len(g):
             return None
@@ -119,46 +157,41 @@ def _signatures(counts_bc, t: float, buckets: int, hot: int):
         flat = place[doc] + (u & (width[doc] - 1).astype(np.uint64)).astype(np.int64)
         sketch = np.packbits((np.bincount(flat, minlength=place[-1]) & 1).astype(np.uint8), bitorder="little").view(np.uint64)
         place >>= 6
-        h = u & np.uint64((1 << 54) - 1)
-        rare = np.minimum(counts[(h >> np.uint64(34)).astype(np.int64)], (1 << 22) - 1).astype(np.uint64)
-        u = np.sort((doc.astype(np.uint64) << np.uint64(54)) | (rare << np.uint64(32)) | ((h >> np.uint64(2)) & np.uint64(0xFFFFFFFF)))
+        low = np.uint64((1 << 34) - 1)
+        slot = ((u >> np.uint64(34)) & np.uint64(SLOTS - 1)).astype(np.int64)
+        u = np.sort((doc.astype(np.uint64) << np.uint64(54)) | (rank[slot].astype(np.uint64) << np.uint64(34)) | (u & low))
         start = np.concatenate([[0], np.cumsum(n)[:-1]])
         short = np.arange(len(u)) - start[doc] < (n - np.ceil(t * n - 1e-9).astype(np.int64) + 1)[doc]
         doc, u = doc[short], u[short]
-        key = (u & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        often = ((u >> np.uint64(32)) & np.uint64((1 << 22) - 1)).astype(np.int64)
-        single = often <= hot
-        at, who, keys = [(key[single] % np.uint32(buckets)).astype(np.int64)], [doc[single]], [key[single]]
-        for j in np.flatnonzero(~single):  # a hot list: one place for each pair of its blocks
-            parts = int(-(-often[j] // hot))
-            mine = int.from_bytes(cids[doc[j]][:8], "little") % parts
-            other = np.arange(parts)
-            pair = np.minimum(mine, other) * parts + np.maximum(mine, other)
-            at.append(buckets + (int(key[j]) * 1_000_003 + pair) % (1 << 40))
-            who.append(np.full(parts, doc[j]))
-            keys.append(np.full(parts, key[j]))
-        at, who, keys = np.concatenate(at), np.concatenate(who), np.concatenate(keys)
+        key = ((u & low) >> np.uint64(2)).astype(np.uint32)
+        often = counts[slot_at[((u >> np.uint64(34)) & np.uint64(SLOTS - 1)).astype(np.int64)]]
+        ids = np.frombuffer(b"".join([c[:8] for c in cids]), np.uint64)
+        of, at = places_of(key, often, ids[doc], buckets, hot)
+        who, keys = doc[of], key[of]
         o = np.lexsort((who, at))
         at, who, keys = at[o], who[o], keys[o]
         begin = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (who[1:] != who[:-1])]))
-        lens = np.diff(np.append(begin, len(at))).astype(np.uint32)
+        lens = np.diff(np.append(begin, len(at)))
         rec, home = who[begin], at[begin]
         first = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1]]))
-        out = {k: [] for k in ("bucket", "cids", "n", "side", "sketch", "lens", "keys")}
+        out = {k: [] for k in ("bucket", "ids", "n", "side", "sketch", "lens", "keys")}
         for x, y in zip(first, np.append(first[1:], len(home))):
             r = rec[x:y]
             out["bucket"].append(int(home[x]))
-            out["cids"].append(b"".join([cids[i] for i in r]))
-            out["n"].append(n[r].astype(np.uint32).tobytes())
+            out["ids"].append(ids[r].tobytes())
+            out["n"].append(_narrow(n[r]))
             out["side"].append(sides[r].astype(np.uint8).tobytes())
             out["sketch"].append(b"".join([sketch[place[i] : place[i + 1]].tobytes() for i in r]))
-            out["lens"].append(lens[x:y].tobytes())
+            out["lens"].append(_narrow(lens[x:y]))
             out["keys"].append(keys[begin[x] : begin[y] if y < len(begin) else len(keys)].tobytes())
         cols = [pa.array(v, pa.int64() if k == "bucket" else pa.binary()) for k, v in out.items()]
         return pa.RecordBatch.from_arrays(cols, list(out))
 
     def run(batches):
         counts = counts_bc.value
+        rank = rarity(counts)
+        slot_at = np.empty(SLOTS, np.int64)
+        slot_at[rank] = np.arange(SLOTS)
         seen: set = set()
         for b in batches:
             texts, sides, cids = b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_pylist()
@@ -170,7 +203,7 @@ def _signatures(counts_bc, t: float, buckets: int, hot: int):
             held = [texts[i] for i in fresh]
             for i, j in stretches(held, rows=1024):
                 f = fresh[i:j]
-                out = block(held[i:j], sides[f], [cids[k] for k in f], counts)
+                out = block(held[i:j], sides[f], [cids[k] for k in f], counts, rank, slot_at)
                 if out is not None:
                     yield out
 
@@ -254,16 +287,25 @@ def merge_lists(key, rec_l, rec_r, n, sketches, t: float, same: bool):
 
 
 def _bucket_kernel(t: float, two_sided: bool):
-    schema = pa.schema([("cid_a", pa.binary()), ("cid_b", pa.binary())])
+    schema = pa.schema([("id_a", pa.int64()), ("id_b", pa.int64())])
 
     def run(tab: pa.Table) -> pa.Table:
-        col = lambda name, kind: np.frombuffer(b"".join(tab[name].to_pylist()), kind)
-        cid = col("cids", np.uint64).reshape(-1, 2)
-        n_all, side, size, keys = col("n", np.uint32).astype(np.int64), col("side", np.uint8), col("lens", np.uint32), col("keys", np.uint32)
-        _, first, inv = np.unique(cid[:, 0] ^ (cid[:, 1] * np.uint64(0x9E3779B97F4A7C15)), return_index=True, return_inverse=True)
-        offset = np.concatenate([[0], np.cumsum((1 << _width(n_all)) >> 6)])[first]
+        rows = {k: tab[k].to_pylist() for k in tab.column_names}
+        col = lambda name, kind: np.frombuffer(b"".join(rows[name]), kind)
+        each = np.array([len(x) // 8 for x in rows["ids"]])
+        ids, side, keys = col("ids", np.int64), col("side", np.uint8), col("keys", np.uint32)
+        n_all, size = _widened(rows["n"], each), _widened(rows["lens"], each)
+        words = col("sketch", np.uint64)
+        place = np.concatenate([[0], np.cumsum((1 << _width(n_all)) >> 6)])
+        # a record is one name, size and first word of the sketch: two texts whose names have the same 64 bits stay apart
+        same = np.stack([ids.view(np.uint64), n_all.astype(np.uint64), words[place[:-1]]])
+        o = np.lexsort(same)
+        new = np.concatenate([[True], (same[:, o][:, 1:] != same[:, o][:, :-1]).any(axis=0)]) if len(o) else np.empty(0, bool)
+        inv = np.empty(len(o), np.int64)
+        inv[o] = np.cumsum(new) - 1
+        first = o[new]
         n = n_all[first]
-        sketches = Sketches(n, col("sketch", np.uint64), offset)
+        sketches = Sketches(n, words, place[first])
         rec, sd = np.repeat(inv, size), np.repeat(side, size)
         if two_sided:
             l, r = (sd & 1) > 0, (sd & 2) > 0
@@ -272,11 +314,8 @@ def _bucket_kernel(t: float, two_sided: bool):
             u = np.unique((keys.astype(np.int64) << 32) | rec)
             k, rc = (u >> 32).astype(np.uint32), u & 0xFFFFFFFF
             a, b = merge_lists((k, k), rc, rc, n, sketches, t, True)
-        reps = [x.tobytes() for x in cid[first]]
-        ca, cb = [reps[i] for i in a], [reps[i] for i in b]
-        lo = [min(x) for x in zip(ca, cb)]
-        hi = [max(x) for x in zip(ca, cb)]
-        return pa.table([pa.array(lo, pa.binary()), pa.array(hi, pa.binary())], schema=schema)
+        x, y = ids[first][a], ids[first][b]
+        return pa.table([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], schema=schema)
 
     return run
 
@@ -288,27 +327,28 @@ def _prepare(batches):
             codes, off = bare_codes(texts[i:j])
             raw = codes.tobytes()
             bare = [raw[4 * off[k] : 4 * off[k + 1]] for k in range(j - i)]
-            has = [len(x) >= 12 for x in bare]
+            names = [xxhash.xxh3_128_digest(x) if len(x) >= 12 else None for x in bare]
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0).slice(i, j - i),
                     b.column(2).slice(i, j - i),
-                    pa.array([xxhash.xxh3_128_digest(x) if h else None for x, h in zip(bare, has)], pa.binary()),
-                    pa.array([x.decode("utf-32-le", "surrogatepass") if h else None for x, h in zip(bare, has)], pa.string()),
+                    pa.array(names, pa.binary()),
+                    pa.array([None if h is None else int.from_bytes(h[:8], "little", signed=True) for h in names], pa.int64()),
+                    pa.array([None if h is None else x.decode("utf-32-le", "surrogatepass") for x, h in zip(bare, names)], pa.string()),
                 ],
-                ["key", "side", "cid", "bare"],
+                ["key", "side", "cid", "id", "bare"],
             )
 
 
 def prepare(df: DataFrame) -> DataFrame:
-    """`key` string, `text` string, `side` int -> `key`, `side`, `cid` (16 bytes that name the bare form), `bare`.
+    """`key` string, `text` string, `side` int -> `key`, `side`, `cid` (16 bytes that name the bare form), `id` (the first 8), `bare`.
 
     Written once to the shared folder, as the join reads it several times. A text without
-    any piece has a null `cid` and `bare`.
+    any piece has a null `cid`, `id` and `bare`.
     """
     ship(df.sparkSession)
     rows = df.select("key", "text", F.col("side").cast("int").alias("side"))
-    return materialize(rows.mapInArrow(_prepare, "key string, side int, cid binary, bare string"), "bare")
+    return materialize(rows.mapInArrow(_prepare, "key string, side int, cid binary, id bigint, bare string"), "bare")
 
 
 def overlaps(left: list, right: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -361,22 +401,28 @@ def similar_classes(prep: DataFrame, t: float = 0.8, two_sided: bool = False, bu
     texts = prep.where("bare is not null").select("bare", "side", "cid")
     counts = slot_counts(texts.select("bare"))
     if buckets is None:
-        # few large buckets: a text goes to as many buckets as it has short lists, at most
-        short = counts.sum() * (1 - t) * 1.2
-        buckets = int(min(1 << 20, max(8, math.ceil(short * 12 / BUCKET_BYTES))))
+        # the postings of the short lists, each sent with name, size and sketch of its text; no more buckets than needed, as texts that
+        # go to a bucket for several pieces go there once
+        total = int(counts.sum())
+        mean = total / max(1, texts.count())
+        sent = int(total * (1 - t) * 1.1) * (17 + mean / 1.7 / 8)
+        buckets = max(8, math.ceil(sent / BUCKET_BYTES))
     bc = spark.sparkContext.broadcast(counts)
     sig = texts.mapInArrow(_signatures(bc, t, buckets, hot), SIGNATURE)
     kernel = _bucket_kernel(t, two_sided)
-    cand = materialize(sig.groupBy("bucket").applyInArrow(kernel, "cid_a binary, cid_b binary").distinct(), "candidates")
-    ids = materialize(cand.select(F.explode(F.array("cid_a", "cid_b")).alias("cid")).distinct(), "candidate-ids")
-    rep = materialize(
-        texts.select("cid", "bare").join(small(ids), "cid").groupBy("cid").agg(F.min("bare").alias("bare")), "candidate-texts"
-    )
+    cand = materialize(sig.groupBy("bucket").applyInArrow(kernel, "id_a bigint, id_b bigint").distinct(), "candidates")
+    ids = cand.select(F.explode(F.array("id_a", "id_b")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    ids = materialize(ids, "candidate-ids")
+    rep = materialize(prep.where("bare is not null").select("cid", "bare", "id").join(small(ids), "id").groupBy("cid").agg(F.min("bare").alias("bare"), F.max("id").alias("id"), F.max("n").alias("n")), "candidate-texts")
     pairs = cand
     for x in "ab":
-        side = rep.select(F.col("cid").alias(f"cid_{x}"), F.col("bare").alias(f"bare_{x}"))
+        side = rep.select(F.col("id").alias(f"id_{x}"), F.col("cid").alias(f"cid_{x}"), F.col("bare").alias(f"bare_{x}"), "n")
         side._lexloom_path = rep._lexloom_path
-        pairs = pairs.join(small(side), f"cid_{x}")
+        pairs = spread_join(pairs, side, [f"id_{x}"], "n").drop("n")
+    pairs = pairs.where("cid_a <> cid_b").drop("id_a", "id_b")
+    swap = F.col("cid_a") > F.col("cid_b")
+    order = [F.when(swap, F.col(f"{c}_{y}")).otherwise(F.col(f"{c}_{x}")).alias(f"{c}_{x}") for c in ("cid", "bare") for x, y in ("ab", "ba")]
+    pairs = pairs.select(*order)
     return materialize(
         pairs.mapInArrow(_verify(t), "cid_a binary, cid_b binary, similarity double, contained_a double, contained_b double"),
         "similar",
@@ -384,32 +430,42 @@ def similar_classes(prep: DataFrame, t: float = 0.8, two_sided: bool = False, bu
 
 
 def member_pairs(prep: DataFrame, pairs: DataFrame) -> DataFrame:
-    """All pairs of different keys (`key_a` < `key_b`, with `side_a`, `side_b`) whose classes are equal or linked.
+    """All pairs of different keys (`key_a` < `key_b`) whose classes are equal or linked, with `similarity`.
 
     Delivered copies of a key count once. Only the keys of linked or shared classes move.
     """
-    m = prep.where("cid is not null").select("key", "side", "cid").distinct()
-    a = m.select(F.col("cid").alias("cid_a"), F.col("key").alias("k1"), F.col("side").alias("s1"))
-    b = m.select(F.col("cid").alias("cid_b"), F.col("key").alias("k2"), F.col("side").alias("s2"))
-    cols = ["cid_a", "cid_b", "similarity", "contained_a", "contained_b"]
-    linked = pairs.select(*cols).join(a, "cid_a").join(b, "cid_b")
-    n = m.groupBy("cid").agg(F.count("*").alias("n")).where("n > 1").select("cid")
-    shared = materialize(n, "shared-classes")
+    m = prep.where("cid is not null").select("key", "cid").distinct()
+    a, b = (m.select(F.col("cid").alias(f"cid_{x}"), F.col("key").alias(f"k{i}")) for x, i in (("a", 1), ("b", 2)))
+    linked = pairs.select("cid_a", "cid_b", "similarity").join(a, "cid_a").join(b, "cid_b").select("k1", "k2", "similarity")
+    shared = materialize(m.groupBy("cid").agg(F.count("*").alias("n")).where("n > 1").select("cid"), "shared-classes")
     two = m.join(small(shared), "cid")
-    same = two.select(F.col("cid").alias("cid_a"), F.col("key").alias("k1"), F.col("side").alias("s1")).join(
-        two.select(F.col("cid").alias("cid_a"), F.col("key").alias("k2"), F.col("side").alias("s2")), "cid_a"
-    ).where("k1 < k2")
+    same = two.select("cid", F.col("key").alias("k1")).join(two.select("cid", F.col("key").alias("k2")), "cid").where("k1 < k2")
+    u = linked.unionByName(same.select("k1", "k2", F.lit(1.0).alias("similarity"))).where("k1 <> k2")
+    return u.select(F.least("k1", "k2").alias("key_a"), F.greatest("k1", "k2").alias("key_b"), "similarity")
+
+
+def sides(prep: DataFrame) -> DataFrame:
+    """`cid`, `key`, `side` of the records on either side."""
+    return prep.where("cid is not null").select("cid", "key", "side").distinct()
+
+
+def both_ways(pairs: DataFrame) -> DataFrame:
+    """Linked classes in either order, `cid` and `other`, with how much of `cid` the other contains."""
+    there = pairs.select(F.col("cid_a").alias("cid"), F.col("cid_b").alias("other"), "similarity", F.col("contained_a").alias("containment"))
+    return there.unionByName(pairs.select(F.col("cid_b").alias("cid"), F.col("cid_a").alias("other"), "similarity", F.col("contained_b").alias("containment")))
+
+
+def cross_pairs(prep: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs of different keys, `left` of side 1 and `right` of side 2, whose classes are equal or linked, with `similarity`, `containment`.
+
+    Classes that have records of one side only, and no link, never move: copies within a side
+    cost no work. Delivered copies of a key count once.
+    """
+    m = sides(prep)
+    mixed = materialize(m.groupBy("cid").agg(F.bit_or("side").alias("both")).where("both = 3").select("cid"), "mixed-classes")
     one = F.lit(1.0)
-    same = same.select("cid_a", F.col("cid_a").alias("cid_b"), one.alias("similarity"), one.alias("contained_a"), one.alias("contained_b"), "k1", "s1", "k2", "s2")
-    u = linked.select(same.columns).unionByName(same).where("k1 <> k2")
-    swap = F.col("k1") > F.col("k2")
-    pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
-    return u.select(
-        pick("k1", "k2").alias("key_a"),
-        pick("k2", "k1").alias("key_b"),
-        pick("s1", "s2").alias("side_a"),
-        pick("s2", "s1").alias("side_b"),
-        "similarity",
-        pick("contained_a", "contained_b").alias("contained_a"),
-        pick("contained_b", "contained_a").alias("contained_b"),
-    )
+    links = both_ways(pairs).unionByName(mixed.select("cid", F.col("cid").alias("other"), one.alias("similarity"), one.alias("containment")))
+    links = materialize(links, "links")
+    on = lambda bit, cid, key: m.where(F.col("side").bitwiseAND(F.lit(bit)) > 0).select(F.col("cid").alias(cid), F.col("key").alias(key))
+    x = on(1, "cid", "left").join(small(links), "cid").join(on(2, "other", "right"), "other")
+    return x.where(F.col("left") != F.col("right")).select("left", "right", "similarity", "containment")

@@ -49,10 +49,9 @@ def test_against_brute_force(spark, two, hot, seed):
         rows = [(k, t, 3) for k, t, _ in rows]
     df = spark.createDataFrame([(*r, "x") for r in rows], "key string, text string, side int, cid string")
     prep = J.prepare(df)
-    p = J.member_pairs(prep, J.similar_classes(prep, 0.8, two, hot=hot))
-    if two:
-        p = p.where("side_a <> side_b")
-    got = [(r["key_a"], r["key_b"]) for r in p.collect()]
+    classes = J.similar_classes(prep, 0.8, two, hot=hot, buckets=97 if seed % 2 else None)
+    p = J.cross_pairs(prep, classes) if two else J.member_pairs(prep, classes)
+    got = [tuple(sorted(r[:2])) for r in p.collect()]
     assert len(got) == len(set(got)) and set(got) == brute(rows, two)
 
 
@@ -64,6 +63,31 @@ def test_boundary_and_containment(spark):
     assert len(r) == 1 and abs(r[0]["similarity"] - 0.8) < 1e-12 and {r[0]["contained_a"], r[0]["contained_b"]} == {1.0, 0.8}
 
 
+def test_names_that_collide(spark, monkeypatch):
+    """Two texts whose names have the same first 64 bits keep their own pairs."""
+    monkeypatch.setattr(J.xxhash, "xxh3_128_digest", lambda x: b"12345678" + __import__("hashlib").md5(x).digest()[:8])
+    rows = [("a", "가나다라마바", 3), ("b", "가나다라마바사", 3), ("c", "하파타카차자아사바마", 3), ("d", "하파타카차자아사바마라", 3)]
+    prep = J.materialize(spark.createDataFrame(next(iter([[(k, s, c, i, x) for b in J._prepare([J.pa.RecordBatch.from_pylist([{"key": k, "text": t, "side": s} for k, t, s in rows])]) for k, s, c, i, x in zip(*[b.column(j).to_pylist() for j in range(5)])]])), "key string, side int, cid binary, id bigint, bare string"), "test")
+    p = J.member_pairs(prep, J.similar_classes(prep))
+    assert {(r["key_a"], r["key_b"]) for r in p.collect()} == {("a", "b"), ("c", "d")}
+
+
+def test_copies_of_one_side_are_no_work(spark):
+    rows = [(f"t{i}", "같은 문장이 훈련 자료에만 아주 많이 있습니다", 2) for i in range(50)] + [("e", "이것은 다른 문장으로 평가에만 있는 것입니다", 1)]
+    prep = J.prepare(spark.createDataFrame(rows, "key string, text string, side int"))
+    assert J.cross_pairs(prep, J.similar_classes(prep, two_sided=True)).count() == 0
+
+
+def test_places_meet_once_per_pair_of_blocks():
+    """Any two postings of a long list share a place, and a place gets two blocks of it at most."""
+    r = np.random.default_rng(1)
+    ids = r.integers(0, 1 << 62, 500).astype(np.uint64)
+    of, at = J.places_of(np.full(500, 9, np.uint32), np.full(500, 6_000_000_000), ids, 8, 1_000_000_000)
+    where = [set(at[of == i].tolist()) for i in range(500)]
+    assert all(where[i] & where[j] for i in range(0, 500, 7) for j in range(500)) and all(len(w) == 6 for w in where)
+    assert max(np.bincount(np.unique(at, return_inverse=True)[1])) < 250
+
+
 def test_empty(spark):
     prep = J.prepare(spark.createDataFrame([], "key string, text string, side int"))
     assert J.member_pairs(prep, J.similar_classes(prep)).count() == 0
