@@ -1,6 +1,10 @@
+import time
+
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from lexloom.operators.packed import PackedFormat, explode_packed, split_packed
+from lexloom.operators.packed import OPEN, PackedFormat, _clean, _unwrapped, explode_packed, split_packed
 from lexloom.plans.packed import CITATIONS
 
 CASES = [
@@ -38,6 +42,77 @@ def test_long_text_is_linear():
     assert len(split_packed(one * 20_000, CITATIONS)) == 20_000
 
 
+def by_restarts(text, fmt):
+    """The definition: a quote or bracket that doesn't close is taken literally, and the field read again."""
+    if not text:
+        return []
+    s = _unwrapped(text)
+    token, marker, value = fmt.compiled()
+    literal: set[int] = set()
+    while True:
+        out, start, nest, quote, quote_at, inner, skip = [], 0, [], "", -1, 0, -1
+        for m in token.finditer(s):
+            i, t = m.start(), m.group()
+            if i in literal or i < skip:
+                continue
+            c = t[0]
+            if c == "\\" and len(t) == 2:
+                if t[1] in fmt.delimiters and not quote and not nest:
+                    out.append(s[start:i])
+                    start = m.end()
+                continue
+            if quote:
+                if c in "(（":
+                    inner += 1
+                elif c in ")）":
+                    inner = max(0, inner - 1)
+                elif c == quote:
+                    if s.startswith(quote, i + 1):
+                        skip = i + 2
+                    elif not inner:
+                        quote = ""
+                continue
+            if nest:
+                if c == nest[-1][0]:
+                    nest.pop()
+                elif c in OPEN and c != "[":
+                    nest.append((OPEN[c], i))
+                continue
+            if len(t) > 1 and marker.fullmatch(t):
+                out.append(s[start:i])
+                start = m.end()
+            elif c in fmt.delimiters:
+                out.append(s[start:i])
+                start = i + 1
+            elif c in fmt.quotes:
+                if not s[start:i].strip():
+                    quote, quote_at, inner = c, i, 0
+            elif c in OPEN:
+                nest.append((OPEN[c], i))
+        if quote:
+            literal.add(quote_at)
+        elif nest:
+            literal.add(nest[0][1])
+        else:
+            break
+    out.append(s[start:])
+    values = (_clean(x, fmt.quotes) for x in out)
+    return [v for v in values if value.search(v)]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.text("(（)）「」[]\"',; \\1a제조{}", max_size=24))
+def test_one_pass_equals_restarts(text):
+    assert split_packed(text, PackedFormat()) == by_restarts(text, PackedFormat())
+
+
+@pytest.mark.parametrize("junk", ["(", "「", "[", '"', '"(', '" (', "'「", "(]", ', "', "[{("])
+def test_unclosed_signs_are_linear(junk):
+    begin = time.process_time()
+    split_packed(junk * 100_000, CITATIONS)
+    assert time.process_time() - begin < 3
+
+
 def test_other_formats():
     fmt = PackedFormat(delimiters=";", marker=r"#\d+")
     assert split_packed("a, b; 'c;d' ;e", fmt) == ["a, b", "c;d", "e"]
