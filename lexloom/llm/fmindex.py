@@ -84,20 +84,21 @@ class FMIndex:
         """How often each symbol stands in the first i places of the transform."""
         return self._walk(sym, i) - self.first[sym]
 
-    def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Backward search of phrases (rows of code points): those that occur, and their row intervals."""
-        at = np.searchsorted(self.alphabet, phrases)
-        known = (self.alphabet[np.minimum(at, len(self.alphabet) - 1)] == phrases).all(axis=1) if len(self.alphabet) else np.zeros(len(phrases), bool)
-        live = np.flatnonzero(known)
-        sym = at[live] + 2
+    def search(self, codes: np.ndarray, start: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Backward search of the stretches of `width` code points that begin at `start`: those that occur, and their row intervals."""
+        at = np.searchsorted(self.alphabet, codes)
+        known = self.alphabet[np.minimum(at, len(self.alphabet) - 1)] == codes if len(self.alphabet) else np.zeros(len(codes), bool)
+        strange = np.concatenate([[0], np.cumsum(~known)])
+        live = np.flatnonzero(strange[start + width] == strange[start])
+        sym = at + 2
         lo, hi = np.zeros(len(live), np.int64), np.full(len(live), self.n, np.int64)
-        for k in range(phrases.shape[1] - 1, -1, -1):
+        for k in range(width - 1, -1, -1):
             if not len(live):
                 break
-            s = sym[:, k]
+            s = sym[start[live] + k]
             lo, hi = self.c[s] + self.rank(s, lo), self.c[s] + self.rank(s, hi)
             keep = hi > lo
-            live, sym, lo, hi = live[keep], sym[keep], lo[keep], hi[keep]
+            live, lo, hi = live[keep], lo[keep], hi[keep]
         return live, lo, hi
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
