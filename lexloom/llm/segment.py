@@ -3,9 +3,11 @@
 Sentences and lines are the units. At each boundary the words of the units before and
 after it are compared (cosine of the counts in blocks of `block` units); a boundary
 lies in a valley of this curve as deep as the curve rises on both sides. Each piece
-ends at the deepest valley among the boundaries of the second half of its window, else
-at the last boundary of the window, else at the last word end, else at the limit. The
-next piece begins at a word within the last `overlap` characters of the piece.
+ends at the deepest valley of its window, the last of several; boundaries within twice
+the overlap of its beginning are left out, so that more than half of a piece is new.
+Without another boundary it ends at the last one of the window, else at the last word
+end, else at the limit. The next piece begins at a word within the last `overlap`
+characters of the piece.
 """
 
 from __future__ import annotations
@@ -26,10 +28,14 @@ SPACE = re.compile(r"\s")
 STRETCH = 256
 
 
-def cohesion_depths(text: str, ends: list[int], block: int = 3) -> np.ndarray:
-    """Depth of the cohesion valley at each boundary; `ends` are the ends of the units."""
+def cohesion(text: str, ends: list[int], block: int = 3) -> np.ndarray:
+    """Cosine of the word counts of the `block` units before and after each boundary; `ends` are the ends of the units.
+
+    Worked through in stretches with the neighbours they need, so that memory stays bounded;
+    the curve is the same as if it were made at once.
+    """
     n = len(ends)
-    depth = np.zeros(n)
+    curve = np.zeros(n)
     for lo in range(0, n, STRETCH):
         a, b = max(0, lo - block), min(n, lo + STRETCH + block)
         begin = ends[a - 1] if a else 0
@@ -43,7 +49,7 @@ def cohesion_depths(text: str, ends: list[int], block: int = 3) -> np.ndarray:
             cols.append(voc.setdefault(m.group(), len(voc)))
         if not voc:
             continue
-        counts = np.zeros((b - a + 1, len(voc)), np.float32)
+        counts = np.zeros((b - a + 1, len(voc)), np.float64)
         np.add.at(counts, (np.array(rows) + 1, np.array(cols)), 1)
         total = counts.cumsum(axis=0)
         i = np.arange(1, b - a + 1)
@@ -51,19 +57,22 @@ def cohesion_depths(text: str, ends: list[int], block: int = 3) -> np.ndarray:
         right = total[np.minimum(i + block, b - a)] - total[i]
         norm = np.sqrt((left * left).sum(1) * (right * right).sum(1))
         sim = np.where(norm > 0, (left * right).sum(1) / np.maximum(norm, 1e-9), 0.0)
-        for k in range(lo, min(n, lo + STRETCH)):
-            j = k - a
-            v = sim[j]
-            x, top = j, v
-            while x > 0 and sim[x - 1] >= top:
-                x -= 1
-                top = sim[x]
-            y, crest = j, v
-            while y + 1 < len(sim) and sim[y + 1] >= crest:
-                y += 1
-                crest = sim[y]
-            depth[k] = (top - v) + (crest - v)
-    return depth
+        mine = slice(lo - a, min(n, lo + STRETCH) - a)
+        curve[lo : lo + STRETCH] = sim[mine]
+    return curve
+
+
+def cohesion_depths(text: str, ends: list[int], block: int = 3) -> np.ndarray:
+    """Depth of the cohesion valley at each boundary: how far the curve climbs from it without a fall, to both sides."""
+    sim = cohesion(text, ends, block)
+    left, right = sim.copy(), sim.copy()
+    for k in range(1, len(sim)):
+        if sim[k - 1] >= sim[k]:
+            left[k] = left[k - 1]
+    for k in range(len(sim) - 2, -1, -1):
+        if sim[k + 1] >= sim[k]:
+            right[k] = right[k + 1]
+    return left + right - 2 * sim
 
 
 def cut(text: str | None, limit: int = 1000, overlap: int = 120, block: int = 3) -> list[tuple[int, int]]:
@@ -84,7 +93,7 @@ def cut(text: str | None, limit: int = 1000, overlap: int = 120, block: int = 3)
     spans, start, done = [], 0, 0
     while size - start > limit:
         hi = int(np.searchsorted(at, start + limit, side="right"))
-        lo = int(np.searchsorted(at, max(start + limit // 2, done + 1)))
+        lo = int(np.searchsorted(at, max(start + 2 * overlap, done + 1)))
         if lo < hi:
             k = lo + int(np.argmax(np.round(depth[lo:hi], 6)[::-1] == np.round(depth[lo:hi], 6).max()))
             k = hi - 1 - (k - lo)

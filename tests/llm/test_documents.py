@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lexloom.llm import encode as E
+from lexloom.llm import segment as G
 from lexloom.llm.contamination import leaked_spans
 from lexloom.llm.fmindex import FMIndex, suffix_array
 from lexloom.llm.forms import bare
@@ -46,6 +47,32 @@ def test_deepest_valley():
     assert abs(cut(t, 700, 60)[0][1] - len(a)) <= 2
 
 
+def test_depths_dont_change_at_stretches(monkeypatch):
+    r = random.Random(8)
+    t = "".join(" ".join(r.choice("임금 안전 교육 휴가 해고 장비 수당".split()) for _ in range(r.randint(2, 6))) + ". " for _ in range(600))
+    ends = [m.end() for m in G.BOUNDARY.finditer(t)]
+    assert len(ends) > 512
+    want = G.cohesion_depths(t, ends)
+    for n in (7, 100, 10_000):
+        monkeypatch.setattr(G, "STRETCH", n)
+        assert np.allclose(G.cohesion_depths(t, ends), want, atol=1e-12)
+    sim = G.cohesion(t, ends)
+    for k in range(0, len(ends), 37):
+        x = k
+        while x and sim[x - 1] >= sim[x]:
+            x -= 1
+        y = k
+        while y + 1 < len(sim) and sim[y + 1] >= sim[y]:
+            y += 1
+        assert abs(want[k] - (sim[x] + sim[y] - 2 * sim[k])) < 1e-12
+
+
+def test_deepest_valley_of_the_first_half():
+    a = "임금 체불 지급 기한 임금 수당. " * 14
+    b = "산업 안전 보건 교육 장비 점검. " * 60
+    assert abs(cut(a + b, 1000, 60)[0][1] - len(a)) <= 2
+
+
 def test_oversized(spark):
     rows = [("a", "가나. " * 600, 1), ("a", "가나. " * 600, 2), ("b", None, 1), ("c", "", 1), ("d", "짧다", 1)]
     out = oversized(spark.createDataFrame(rows, "k string, text string, field int"), "f", "k", "text").collect()
@@ -101,7 +128,7 @@ def test_suffix_array(x):
 def test_backward_search(text, words):
     codes = np.array([ord(c) for c in text], np.uint32)
     idx = FMIndex(codes)
-    live, lo, hi = idx.search(np.array([[ord(c) for c in w] for w in words], np.uint32))
+    live, lo, hi = idx.search(np.array([ord(c) for w in words for c in w], np.uint32), np.arange(len(words)) * 3, 3)
     found = {int(k): sorted(idx.locate(np.arange(a, b)).tolist()) for k, a, b in zip(live, lo, hi)}
     for k, w in enumerate(words):
         assert found.get(k, []) == [i for i in range(len(text) - 2) if text[i : i + 3] == w]
@@ -125,8 +152,10 @@ def test_leaks(spark):
     pairs = {(d, i) for d, t in docs for k in range(len(bare(t)) - 39) for i in want.get(bare(t)[k : k + 40], ())}
     df = spark.createDataFrame([(*x, 1) for x in docs], "doc_id long, text string, start int")
     it = spark.createDataFrame(items, "item_id long, text string")
-    for chars in (1 << 20, 500, 60):
-        got = leaked_spans(df, it, shard_chars=chars).collect()
+    whole = sorted(map(tuple, leaked_spans(df, it).collect()))
+    for chars, item_chars in ((1 << 20, 100), (500, 8 << 20), (90, 300)):
+        got = leaked_spans(df, it, shard_chars=chars, item_chars=item_chars).collect()
+        assert sorted(map(tuple, got)) == whole
         assert {(x["doc_id"], x["item_id"]) for x in got} == pairs and pairs
         text = {d: bare(t) for d, t in docs}
         assert all(text[x["doc_id"]][x["start"] : x["start"] + 40] in want for x in got)
