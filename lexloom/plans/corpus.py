@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import text as X
 from lexloom.operators import versions
-from lexloom.operators.structure import link_references
 from lexloom.runtime import table
 
 SNAPSHOT = "2020-01-01"
@@ -336,27 +335,12 @@ def kind_map(s, d):
     return table(s, d, "law_file").select("raw_path", F.try_element_at(m, F.col("kind")).alias("doc_type"))
 
 
-def _articles(s, d) -> DataFrame:
+def articles(s, d) -> DataFrame:
     f = table(s, d, "law_file").select("law_id", X.norm_law(F.col("title")).alias("law_key"))
     a = _docs(s, d).where("article_key is not null").groupBy("law_id", "article_key").agg(F.max("doc_key").alias("article_id"))
     return a.join(f, "law_id").groupBy("law_key", "article_key").agg(F.max("article_id").alias("article_id"))
 
 
-@query()
-def reference_link(s, d):
-    """Citations of the cases, linked to the articles of the corpus."""
-    return link_references(_docs(s, d).where("doc_type = 'precedent'"), "doc_id", "참조조문", _articles(s, d)).drop("law_key")
-
-
-@query()
-def reference_stats(s, d):
-    r = reference_link(s, d)
-    return r.agg(
-        F.count("*").alias("n_refs"), F.count_if("old_version").alias("n_old"), F.count("linked_id").alias("n_linked"),
-        F.count_distinct(F.when(F.col("linked_id").isNotNull(), F.col("doc_id"))).alias("n_cases_linked"),
-    )
-
-
 # versions and samples
 
 
@@ -397,21 +381,6 @@ def seeded_sample(s, d):
     return _docs(s, d).select("doc_type", "doc_id", F.row_number().over(w).alias("r")).where("r <= 5").drop("r")
 
 
-# chunks from documents
-
-
-@query()
-def chunk_documents(s, d):
-    """Chunks of all documents within the token budget: cases by issue, other texts by line and window."""
-    from lexloom.operators import chunking
-
-    x = _docs(s, d).select(
-        F.col("doc_key").alias("doc_id"), "doc_type", "title", "source_url", F.concat(F.lit("["), "title", F.lit("]")).alias("prefix"), "text", "holding", "summary",
-        F.lit(None).cast("array<struct<no:string,text:string,deleted:boolean,items:array<struct<no:string,text:string,deleted:boolean,subitems:array<struct<no:string,text:string,deleted:boolean>>>>>>").alias("paragraphs"),
-    )
-    return chunking.chunk_documents(x.withColumn("prefix", F.coalesce("prefix", F.lit("[]"))))
-
-
 @query("select law, count(*) as n, array_to_string(list_sort(list(kind)), ',') as kinds, max(promulgated) as newest from law_file group by law")
 def law_kinds(s, d):
     g = table(s, d, "law_file").groupBy("law").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("kind")).alias("k"), F.max("promulgated").alias("newest"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexloom.plans import corpus, packed, pairs, retrieval, streams
+from lexloom.plans import corpus, lawfiles, packed, pairs, retrieval, streams
 
-MODULES = (retrieval, pairs, corpus, streams)
+MODULES = (retrieval, pairs, corpus, lawfiles, streams)
 
 
 def queries() -> dict:
