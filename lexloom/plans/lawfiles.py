@@ -65,7 +65,7 @@ LINES = f"""ln as (select doc_id, unnest(string_split(replace(text, chr(13) || c
     cl as (select doc_id, i, regexp_matches(line, '^[①-⑳]') as par, regexp_matches(line, '^[0-9]+\\.') as item, {clean_sql('line')} as t, regexp_extract(line, '^([0-9]+)\\.', 1) as no
         from ln where regexp_replace(line, '{B}+', '', 'g') <> ''),
     ag as (select doc_id, count(*) filter (where par) + cast(not arg_min(par, i) as bigint) + 1 as n_paragraphs, count(*) filter (where item) as n_items,
-        md5(string_agg(t || case when item then '가.' || no || '호의목' else '' end, '' order by i)) as text_md5 from cl group by doc_id having bool_or(item or t <> ''))"""
+        md5(string_agg(t || case when item then '가.' || no || '호의목' else '' end, '' order by i)) as text_md5 from cl group by doc_id having bool_or(item or t <> '') and not regexp_full_match(string_agg(t, '' order by i), '([①-⑳]?삭제)*'))"""
 
 
 @query(

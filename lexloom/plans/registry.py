@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexloom.plans import corpus, lawfiles, packed, pairs, retrieval, streams
+from lexloom.plans import corpus, lawfiles, packed, pairs, retrieval, storage, streams
 
-MODULES = (retrieval, pairs, corpus, lawfiles, streams)
+MODULES = (retrieval, pairs, corpus, lawfiles, storage, streams)
 
 
 def queries() -> dict:

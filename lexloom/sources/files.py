@@ -26,6 +26,37 @@ def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def stream_jsonl(spark: SparkSession, folder: str, schema, handle, checkpoint: str, max_files: int = 1) -> None:
+    """New JSON-line files below the folder as a stream, `max_files` a batch, through `handle(frame, batch_id)`; ends when all are read."""
+    s = spark.readStream.schema(schema).option("mode", "FAILFAST").option("maxFilesPerTrigger", max_files).json(folder)
+    s.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def put(spark: SparkSession, path: str, text: str) -> None:
+    """One small file, in whatever file system the path names."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+
+
+def land(texts: DataFrame, folder: str) -> DataFrame:
+    """Raw texts (`path`, `text`, `commit_sha`, `url`) as a table in a landing folder that is emptied before; gives the provenance of each.
+
+    A million small files are no input for a cluster, so the texts land as rows.
+    """
+    texts.select("path", "text", "commit_sha", "url").write.mode("overwrite").parquet(folder)
+    raw = F.col("text").cast("binary")
+    return texts.sparkSession.read.parquet(folder).select("path", F.lit("landed").alias("status"), F.sha2(raw, 256).alias("sha256"), F.octet_length(raw).alias("n_bytes"), "commit_sha", "url")
+
+
+def table_report(df: DataFrame, title: str, limit: int = 1000) -> str:
+    """A small result as a Markdown table."""
+    rows = [df.columns, ["---"] * len(df.columns), *[[str(v) for v in r] for r in df.limit(limit).collect()]]
+    return f"# {title}\n\n" + "\n".join("|---" * len(df.columns) + "|" if r[0] == "---" else "| " + " | ".join(r) + " |" for r in rows)
+
+
 def load_config(path: str | Path) -> dict:
     with open(path, encoding="utf-8") as f:
         return yaml.safe_load(f) or {}
