@@ -72,12 +72,16 @@ def has_article_number(c: Column) -> Column:
     return c.rlike(ARTICLE_NUMBER)
 
 
+# Law names and their short forms that count as a mention; a blank may be missing.
+LAW_NAMES = [
+    "근로기준법", "최저임금법", "퇴직급여 보장법", "남녀고용평등", "기간제법", "파견법", "고용보험법", "산재보험법",
+    "산업재해보상보험법", "임금채권보장법", "근로자참여", "보험료징수", "징수법", "시행령", "시행규칙",
+]
+
+
 def mentions(c: Column, names: list[str]) -> Column:
-    """Whether one of the names stands in the text."""
-    out = F.lit(False)
-    for n in names:
-        out = out | F.contains(c, F.lit(n))
-    return out
+    """Whether one of the names stands in the text, with any blanks or none where a name has one."""
+    return c.rlike("|".join(n.replace(" ", BLANK + "*") for n in names)) if names else F.lit(False)
 
 
 def norm_law(c: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as X
+from lexloom.functions.positions import positions
 
 
 def split_name(c: Column) -> Column:
@@ -39,13 +40,29 @@ def judged(questions: DataFrame, judgments: DataFrame, not_applicable: list[str]
     return x.withColumn("judge_status", status)
 
 
-def finalize(pairs: DataFrame, keep: list[str]) -> DataFrame:
-    """Kept pairs: not judged at all, or judged with a verdict to keep. Verdicts must be real ones."""
+class Incomplete(Exception):
+    """Questions are still to be judged."""
+
+
+def finalize(pairs: DataFrame, keep: list[str], incomplete: bool = True) -> DataFrame:
+    """Kept pairs: not judged at all, or judged with a verdict to keep. Verdicts must be real ones.
+
+    With incomplete=False it is refused while any pair is unjudged.
+    """
     if not keep or not set(keep) <= {"yes", "partial", "no"}:
         raise ValueError(f"no such verdicts: {keep!r} (quote yes and no in YAML)")
+    if not incomplete and pairs.where("judge_status = 'unjudged'").limit(1).count():
+        raise Incomplete("some pairs are not judged yet")
     return pairs.where((F.col("judge_status") != "judged") | F.col("verdict").isin(keep))
 
 
+def cleaned_questions(q: DataFrame, most: int) -> DataFrame:
+    """`qid`, `question` composed and trimmed; empty ones and those beyond the first `most` of a chunk, by their number, are left out."""
+    x = q.select("qid", X.nfc(F.trim("question")).alias("question")).where("question <> ''")
+    x = x.withColumn("_chunk", F.regexp_extract("qid", r"^(.+)\|q", 1)).withColumn("_k", F.try_to_number(F.nullif(F.regexp_extract("qid", r"\|q(\d+)$", 1), F.lit("")), F.lit("999999999")).cast("int"))
+    return positions(x, ["_chunk"], ["_k", "qid"]).where(F.col("position") < most).select("qid", "question")
+
+
 def wrong_pairs(questions: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """Negative controls: n questions, each with a chunk of another document.
 

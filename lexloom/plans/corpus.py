@@ -11,7 +11,8 @@ from lexloom.runtime import table
 
 SNAPSHOT = "2020-01-01"
 PATTERNS = ["작업시간표준법", "일터안전증진법", "교대근무보호법", "임금명세공개법", "징계절차공정법"]
-LAW_WORDS = ["시행령", "시행규칙", "법률", "기본법", "보호법"]
+#: Law names whose mention is told in questions: the fixed ones, and kinds of laws in this corpus.
+LAW_WORDS = [*X.LAW_NAMES, "법률", "기본법", "보호법"]
 KINDS = {"법률": "law", "시행령": "decree", "시행규칙": "rule"}
 
 QUERIES: dict = {}
@@ -159,8 +160,8 @@ def token_counts(s, d):
 
 
 @query(
-    """select qid, regexp_matches(question, '제[\\s\\v\\x1c-\\x1f\\x{85}\\p{Z}]*\\p{Nd}+[\\s\\v\\x1c-\\x1f\\x{85}\\p{Z}]*조') as article_no,
-        regexp_matches(question, '시행령|시행규칙|법률|기본법|보호법') as law_name
+    f"""select qid, regexp_matches(question, '제[\\s\\v\\x1c-\\x1f\\x{{85}}\\p{{Z}}]*\\p{{Nd}}+[\\s\\v\\x1c-\\x1f\\x{{85}}\\p{{Z}}]*조') as article_no,
+        regexp_matches(question, '{'|'.join(LAW_WORDS).replace(' ', B + '*')}') as law_name
     from (select distinct qid, question from queries_raw)"""
 )
 def question_flags(s, d):

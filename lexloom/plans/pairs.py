@@ -247,9 +247,13 @@ def group_chunks(s, d):
     return g.select("group_id", "n", F.array_join("c", ",").alias("chunk_ids"))
 
 
-@query(f"with {Q} select qid, nfc_normalize(trim(question)) as question from qs where trim(question) <> ''")
+@query(
+    f"""with {Q}, cu as (select qid, nfc_normalize(trim(question)) as question, regexp_extract(qid, '^(.+)\\|q', 1) as c, try_cast(regexp_extract(qid, '\\|q(\\d+)$', 1) as int) as k from qs where trim(question) <> '')
+    select qid, question from (select *, row_number() over (partition by c order by k, qid) as r from cu) where r <= 2"""
+)
 def question_cleanup(s, d):
-    return questions(s, d).select("qid", X.nfc(F.trim("question")).alias("question")).where("question <> ''")
+    """Composed and trimmed questions, without empty ones, and at most two for each chunk."""
+    return pairs.cleaned_questions(questions(s, d), 2)
 
 
 # resuming and batches
@@ -317,6 +321,34 @@ def finalize_pairs(s, d):
     return pairs.finalize(judged(s, d), ["yes", "partial"]).select("qid")
 
 
+@query("select * from (values ('all judged', true), ('some open', false), ('some open, allowed', true)) t(state, finished)")
+def finalize_guard(s, d):
+    """Finalising is refused while questions are not judged, unless it is allowed."""
+    x, out = judged(s, d), []
+    some = x.where("judge_status <> 'unjudged'"), x, x
+    for state, rows, allowed in zip(("all judged", "some open", "some open, allowed"), some, (False, False, True)):
+        try:
+            pairs.finalize(rows, ["yes"], incomplete=allowed)
+            out.append((state, True))
+        except pairs.Incomplete:
+            out.append((state, False))
+    return s.createDataFrame(out, "state string, finished boolean")
+
+
+@query(
+    f"""with {Q} select true as other_document, true as known_question, true as known_chunk, 10 as n"""
+)
+def wrong_pair_checks(s, d):
+    """Negative controls: ten questions, each with a chunk of another document."""
+    q = questions(s, d).where("chunk_id is not null").select("qid", "chunk_id", "group_id")
+    w = pairs.wrong_pairs(q, 10).alias("w").join(q.alias("q"), "qid", "left")
+    other = F.regexp_extract("wrong_chunk_id", r"^(.+)#\d+$", 1) != F.col("q.group_id")
+    known = q.select(F.col("chunk_id").alias("wrong_chunk_id"), F.lit(True).alias("known")).distinct()
+    return w.join(known, "wrong_chunk_id", "left").agg(
+        F.bool_and(other).alias("other_document"), F.bool_and(F.col("q.group_id").isNotNull()).alias("known_question"), F.bool_and(F.coalesce("known", F.lit(False))).alias("known_chunk"), F.count("*").cast("int").alias("n")
+    )
+
+
 @query()
 def wrong_pair_controls(s, d):
     q = questions(s, d).where("chunk_id is not null").select("qid", "chunk_id", "group_id")
