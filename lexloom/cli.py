@@ -101,7 +101,7 @@ def evaluate(s, a) -> int:
 def search(s, a) -> int:
     docs = bm25.tokens(table(s, a.data, "chunks").groupBy("chunk_id").agg(F.any_value("text").alias("text")), "chunk_id", "text")
     q = bm25.tokens(s.createDataFrame([(1, a.question)], "q int, text string"), "q", "text")
-    bm25.top_k(bm25.scores(docs, q, "chunk_id", "q"), "q", "chunk_id", a.limit or 5).show(truncate=False)
+    bm25.search(docs, q, "chunk_id", "q", a.limit or 5).show(truncate=False)
     return 0
 
 

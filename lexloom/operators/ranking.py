@@ -19,28 +19,23 @@ def dot(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6, keep=None) -> DataFrame:
-    """Best k of the corpus for each query by dot product. queries: `query_id`, `vector`; corpus: `doc_id`, `vector`.
+def dense_scores(queries: DataFrame, corpus: DataFrame, k: int | None = None, digits: int = 6) -> DataFrame:
+    """query_id, doc_id, score by dot product: of all documents, or of the best k of each batch, which hold the best k of all.
 
-    The corpus streams by in blocks past blocks of queries of a bounded size, as one matrix
-    product each; every task sends only its own best k of each query to the final window.
+    The corpus streams by in batches past blocks of queries of a bounded size, as one matrix
+    product each. The queries come to the driver in blocks of QUERY_BYTES, never all at once.
     Rows without an id or a vector are left out.
-    The queries come to the driver in blocks of QUERY_BYTES, never all at once.
     """
     spark = corpus.sparkSession
     queries, corpus = queries.where("vector is not null and query_id is not null"), corpus.where("vector is not null and doc_id is not null")
     first = queries.agg(F.max(F.size("vector")).alias("d"), F.count("*").alias("n")).first()
     schema = "query_id bigint, doc_id bigint, score double"
-    if not first["n"]:
-        return spark.createDataFrame([], "query_id bigint, rank bigint, doc_id bigint, score double")
-    blocks = max(1, -(-first["n"] * first["d"] * 8 // QUERY_BYTES))
-    out = None
-    for part in range(blocks):
+    out = spark.createDataFrame([], schema)
+    blocks = max(1, -(-first["n"] * (first["d"] or 0) * 8 // QUERY_BYTES))
+    for part in range(blocks if first["n"] else 0):
         q = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == part) if blocks > 1 else queries
         got = q.select("query_id", "vector").toArrow()
-        qid = got["query_id"].to_numpy()
-        mat = np.array(got["vector"].to_pylist(), np.float64)
-        bc = spark.sparkContext.broadcast((qid, mat))
+        bc = spark.sparkContext.broadcast((got["query_id"].to_numpy(), np.array(got["vector"].to_pylist(), np.float64)))
 
         def run(batches, bc=bc):
             qid, mat = bc.value
@@ -51,14 +46,23 @@ def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6,
                 vec = np.array(b.column(1).to_pylist(), np.float64)
                 s = np.round(mat @ vec.T, digits)
                 order = np.argsort(ids, kind="stable")
-                best = order[np.argsort(-s[:, order], axis=1, kind="stable")[:, :k]]
+                best = order[np.argsort(-s[:, order], axis=1, kind="stable")[:, :k]] if k else np.broadcast_to(order, s.shape)
                 rows = np.repeat(np.arange(len(qid)), best.shape[1])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(qid[rows]), pa.array(ids[best.ravel()]), pa.array(s[rows, best.ravel()])], ["query_id", "doc_id", "score"]
                 )
 
         x = corpus.select("doc_id", "vector").mapInArrow(run, schema)
-        out = x if out is None else out.unionByName(x)
+        out = out.unionByName(x) if part else x
+    return out
+
+
+def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6, keep=None) -> DataFrame:
+    """Best k of the corpus for each query by dot product, ties by id. queries: `query_id`, `vector`; corpus: `doc_id`, `vector`.
+
+    Every task sends only its own best k of each query to the final window.
+    """
+    out = dense_scores(queries, corpus, k, digits)
     if keep is not None:
         out = out.where(keep)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
@@ -126,9 +130,9 @@ def dense_group_rank(queries: DataFrame, corpus: DataFrame, digits: int = 6) ->
 
 
 def ranked(scored: DataFrame, query: str, doc: str, score: str = "score") -> DataFrame:
-    """0-based position of each document in its query's list, ties by id."""
-    w = Window.partitionBy(query).orderBy(F.desc(score), F.asc(doc))
-    return scored.withColumn("position", F.row_number().over(w) - 1)
+    """0-based position of each document in its query's list, ties by id. Lists are numbered by ranges, so that none is sorted in one task."""
+    x = scored.select(query, doc, score).withColumn("_neg", -F.col(score))
+    return positions(x, [query], ["_neg", doc]).drop("_neg")
 
 
 def reciprocal_rank_fusion(lists: list[DataFrame], query: str, doc: str, k: int = 60) -> DataFrame:

@@ -236,9 +236,8 @@ def dense_topk(s, d):
 
 
 def dense_scores(s, d, half: bool = False) -> DataFrame:
-    """Full lists: every document for every query, by blocks."""
-    n = table(s, d, "embeddings").count()
-    return dense_lists(s, d, n, half).select("query_id", "doc_id", "score")
+    """Full lists: every document for every query but itself, by blocks."""
+    return R.dense_scores(*vectors(s, d, half)).where("query_id <> doc_id")
 
 
 def dense_ranks(s, d, half: bool = False) -> DataFrame:
