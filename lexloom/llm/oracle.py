@@ -19,6 +19,32 @@ GRAMS = """gs as (select k, s, list_distinct(list_transform(range(1, length(t) -
     pr as (select a.k as k1, b.k as k2, count(*) as c, any_value(a.n) as na, any_value(b.n) as nb from fl a join fl b
         on a.g = b.g and {pair} and least(a.n, b.n) >= 0.8 * greatest(a.n, b.n) - 1e-9 group by 1, 2)"""
 
+# Overlaps of classes. {f}: prefix of the CTEs, {src}: rows k, text, s (bits: 1 held out, 2 train).
+CONSISTENT = f"translate(nfc_normalize(regexp_replace(text, '[\\p{{Cf}}\\x{{34F}}]', '', 'g')), '{WIDE}', '{PLAIN}')"
+OVERLAPS = """{f}w as (select k, s, array_to_string(regexp_extract_all(translate({cons}, '{look}', '{latin}'), '[\\p{{L}}\\p{{N}}]+'), ' ') as t from {src} where text is not null),
+    {f}b as (select k, s, replace(t, ' ', '') as t from {f}w),
+    {f}wc as (select t, min(k) filter (s & 1 > 0) as ek, count(distinct k) filter (s & 1 > 0) as ne, min(k) filter (s & 2 > 0) as tk, count(distinct k) filter (s & 2 > 0) as nt from {f}w where t <> '' group by t),
+    {f}bc as (select t, min(k) filter (s & 1 > 0) as ek, count(distinct k) filter (s & 1 > 0) as ne, min(k) filter (s & 2 > 0) as tk, count(distinct k) filter (s & 2 > 0) as nt from {f}b where length(t) >= 3 group by t),
+    {f}wg as (select t, ek, ne, tk, nt, list_distinct(list_transform(range(1, greatest(2, len(w) - 3)), lambda i: array_to_string(w[i:i + 4], ' '))) as g from (select *, string_split(t, ' ') as w from {f}wc)),
+    {f}bg as (select t, ek, ne, tk, nt, list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) as g from {f}bc),
+    {f}wf as (select *, len(g) as n, unnest(g) as x from {f}wg), {f}bf as (select *, len(g) as n, unnest(g) as x from {f}bg),
+    {f}wp as (select a.t as t1, b.t as t2, any_value(a.ek) as eval_key, any_value(a.ne) as n_eval, any_value(b.tk) as train_key, any_value(b.nt) as n_train, count(*) / any_value(a.n) as share
+        from {f}wf a join {f}wf b on a.x = b.x and a.ne > 0 and b.nt > 0 group by 1, 2 having share >= 0.8),
+    {f}bp as (select a.t as t1, b.t as t2, any_value(a.ek) as eval_key, any_value(a.ne) as n_eval, any_value(b.tk) as train_key, any_value(b.nt) as n_train, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) as share
+        from {f}bf a join {f}bf b on a.x = b.x and a.ne > 0 and b.nt > 0 and least(a.n, b.n) >= 0.8 * greatest(a.n, b.n) - 1e-9 group by 1, 2 having share >= 0.8),
+    {f}o as (select '{field}' as field, 'contained' as kind, * from {f}wp union all select '{field}', 'similar', * from {f}bp)"""
+
+
+def _overlaps(f: str, field: str, src: str) -> str:
+    return OVERLAPS.format(f=f, field=field, src=src, cons=CONSISTENT, look=LOOK, latin="".join(LOOK_ALIKES.values()))
+
+
+BITS = "bit_or(case when sp = 'train' then 2 when sp is not null then 1 else 0 end)"
+ROWS = f"""qr as (select qid as k, any_value(question) as text, {BITS} as s from (select *, case when split is null then null else {SPLIT} end as sp from queries_raw) where qid is not null group by qid having s > 0),
+    cr as (select chunk_id as k, any_value(text) as text, {BITS} as s from (select chunk_id, text, splits.split as sp from chunks join splits using (group_id)) where chunk_id is not null group by chunk_id having s > 0),
+    {_overlaps("q", "question", "qr")}, {_overlaps("c", "chunk_text", "cr")},
+    ov as (select * from (select * from qo union all select * from co) where not (t1 = t2 and n_eval = 1 and n_train = 1 and eval_key = train_key))"""
+
 SQL: dict[str, str] = {
     "p3_found": """
         select distinct 'chunks.text' as field, chunk_id as row_key from chunks where length(text) > 1000
@@ -72,4 +98,14 @@ SQL: dict[str, str] = {
         select 'question' as field, least(k1, k2) as key_a, greatest(k1, k2) as key_b from pr where c / (na + nb - c) >= 0.8
         union all select 'chunk_text', least(k1, k2), greatest(k1, k2) from pr2 where c / (na + nb - c) >= 0.8
     """,
+    "p5_overlaps": f"with {ROWS} select field, kind, eval_key, train_key, round(share, 6) as share, n_eval, n_train from ov",
+    "p5_members": f"""with {ROWS}, pe as (select field, kind, t1, cast(sum(n_train) as bigint) as n_train from ov group by all),
+        me as (select 'question' as field, 'contained' as kind, * from qw union all select 'question', 'similar', * from qb union all select 'chunk_text', 'contained', * from cw union all select 'chunk_text', 'similar', * from cb)
+        select distinct field, kind, k as eval_key, n_train from me join pe using (field, kind) where me.t = pe.t1 and s & 1 > 0""",
 }
+SQL["p5_report"] = f"""with m as ({SQL["p5_members"]}),
+    so as (select doc_key, min(source) as source from documents group by doc_key),
+    qo2 as (select qid as eval_key, min(case when split is null then null else {SPLIT} end) as qs from queries_raw group by qid),
+    gs2 as (select group_id as doc_key, min(split) as gs from splits group by group_id)
+    select field, kind, case when field = 'question' then qs else gs end as split, source, count(*) as n_eval, cast(sum(n_train) as bigint) as n_links
+    from (select *, regexp_extract(eval_key, '^(.+)#\\d+(\\|q\\d+)?$', 1) as doc_key from m) left join so using (doc_key) left join qo2 using (eval_key) left join gs2 using (doc_key) group by 1, 2, 3, 4"""

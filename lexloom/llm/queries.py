@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import simjoin
+from lexloom.llm import containment, simjoin
 from lexloom.llm.components import components
 from lexloom.llm.contamination import leaked_spans
 from lexloom.llm.encode import encode_corpus
@@ -131,14 +131,31 @@ def cross_split_pairs(rows: DataFrame, t: float = THRESHOLD) -> DataFrame:
     return simjoin.cross_pairs(prep, simjoin.similar_classes(prep, t, two_sided=True))
 
 
+def _overlap_links(rows: DataFrame) -> list[tuple[str, DataFrame, DataFrame]]:
+    """(kind, members, links with `share`) of both kinds of overlap. rows: key, text, side.
+
+    contained: a training text holds at least THRESHOLD of the held-out record's n-grams of
+    five words. similar: the similarity of three-character pieces is at least THRESHOLD; this
+    also finds texts that differ in their blanks.
+    """
+    words = containment.prepare(rows)
+    contained = containment.contained_classes(words, THRESHOLD).withColumnRenamed("containment", "share")
+    prep = simjoin.prepare(rows)
+    m = simjoin.sides(prep)
+    similar = simjoin.mixed_links(m, simjoin.similar_classes(prep, THRESHOLD, two_sided=True))
+    return [("contained", simjoin.sides(words), contained), ("similar", m, similar.select("cid", "other", F.col("similarity").alias("share")))]
+
+
 def p5_overlaps(spark: SparkSession, d: str) -> DataFrame:
-    """All overlaps: field, the held-out and the train key, similarity, and how much of the held-out record the train record contains."""
+    """All overlaps, of classes of equal texts: the least held-out and train key, how many records each has, and the share.
+
+    Of kind contained, classes have the same words; of kind similar, the same bare form. `p5_members` tells the class of each record.
+    """
     out = None
     for field, rows in (("question", _sides_questions(spark, d)), ("chunk_text", _sides_chunks(spark, d))):
-        x = cross_split_pairs(rows).select(
-            F.lit(field).alias("field"), F.col("left").alias("eval_key"), F.col("right").alias("train_key"), F.round("similarity", 6).alias("similarity"), F.round("containment", 6).alias("containment")
-        ).distinct()
-        out = x if out is None else out.unionByName(x)
+        for kind, m, links in _overlap_links(rows):
+            x = simjoin.class_links(m, links).select(F.lit(field).alias("field"), F.lit(kind).alias("kind"), "eval_key", "train_key", F.round("share", 6).alias("share"), "n_eval", "n_train")
+            out = x if out is None else out.unionByName(x)
     return out
 
 
@@ -151,19 +168,29 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def p5_members(spark: SparkSession, d: str) -> DataFrame:
+    """Each held-out record that overlaps with training records: by field and kind, with the number of training records."""
+    out = None
+    for field, rows in (("question", _sides_questions(spark, d)), ("chunk_text", _sides_chunks(spark, d))):
+        for kind, m, links in _overlap_links(rows):
+            per = simjoin.class_links(m, links).groupBy("cid").agg(F.sum("n_train").alias("n_train"))
+            per = materialize(per, "linked-classes")
+            held = m.where(F.col("side").bitwiseAND(F.lit(HELD_OUT)) > 0).select("cid", "key")
+            x = held.join(per, "cid").select(F.lit(field).alias("field"), F.lit(kind).alias("kind"), F.col("key").alias("eval_key"), "n_train")
+            out = x if out is None else out.unionByName(x)
+    return out
+
+
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
-    """Overlaps per field, held-out split and source of the held-out record's document (of several, the least)."""
-    p = p5_overlaps(spark, d)
-    doc = F.regexp_extract("eval_key", r"^(.+)#\d+(\|q\d+)?$", 1)
-    p = materialize(p.withColumn("doc_key", doc), "overlaps")
+    """Overlaps per field, kind, held-out split and source of the held-out record's document (of several, the least): records with any, and links to training records."""
+    p = p5_members(spark, d)
+    p = materialize(p.withColumn("doc_key", F.regexp_extract("eval_key", r"^(.+)#\d+(\|q\d+)?$", 1)), "overlaps")
     source = table(spark, d, "documents").select("doc_key", "source").groupBy("doc_key").agg(F.min("source").alias("source"))
     own = table(spark, d, "queries_raw").select(F.col("qid").alias("eval_key"), split_name(F.col("split")).alias("q_split")).groupBy("eval_key").agg(F.min("q_split").alias("q_split"))
     grp = group_splits(spark, d).select(F.col("group_id").alias("doc_key"), F.col("split").alias("g_split"))
     x = p.join(source, "doc_key", "left").join(own, "eval_key", "left").join(grp, "doc_key", "left")
     split = F.when(F.col("field") == "question", F.col("q_split")).otherwise(F.col("g_split"))
-    return x.groupBy("field", split.alias("split"), "source").agg(
-        F.count("*").alias("n_pairs"), F.count_distinct("eval_key").alias("n_eval"), F.count_distinct("train_key").alias("n_train")
-    )
+    return x.groupBy("field", "kind", split.alias("split"), "source").agg(F.count("*").alias("n_eval"), F.sum("n_train").alias("n_links"))
 
 
 # 6: splits that keep groups together
@@ -260,7 +287,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p2_found, p2_groups, p3_found, p3_pieces, p4_found, p4_forms, p5_found, p5_overlaps, p5_report,
+        p2_found, p2_groups, p3_found, p3_pieces, p4_found, p4_forms, p5_found, p5_overlaps, p5_members, p5_report,
         p6_found, p6_assign, p6_shares, p7_ids, p8_found, p8_spans, p9_found, p9_spans,
     )
 }

@@ -455,6 +455,14 @@ def both_ways(pairs: DataFrame) -> DataFrame:
     return there.unionByName(pairs.select(F.col("cid_b").alias("cid"), F.col("cid_a").alias("other"), "similarity", F.col("contained_b").alias("containment")))
 
 
+def mixed_links(m: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Links of `pairs` in either order, and of each class that has records on both sides with itself. m: from `sides`."""
+    mixed = m.groupBy("cid").agg(F.bit_or("side").alias("both")).where("both = 3").select("cid")
+    one = F.lit(1.0)
+    links = both_ways(pairs).unionByName(mixed.select("cid", F.col("cid").alias("other"), one.alias("similarity"), one.alias("containment")))
+    return materialize(links, "links")
+
+
 def cross_pairs(prep: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs of different keys, `left` of side 1 and `right` of side 2, whose classes are equal or linked, with `similarity`, `containment`.
 
@@ -462,10 +470,21 @@ def cross_pairs(prep: DataFrame, pairs: DataFrame) -> DataFrame:
     cost no work. Delivered copies of a key count once.
     """
     m = sides(prep)
-    mixed = materialize(m.groupBy("cid").agg(F.bit_or("side").alias("both")).where("both = 3").select("cid"), "mixed-classes")
-    one = F.lit(1.0)
-    links = both_ways(pairs).unionByName(mixed.select("cid", F.col("cid").alias("other"), one.alias("similarity"), one.alias("containment")))
-    links = materialize(links, "links")
+    links = mixed_links(m, pairs)
     on = lambda bit, cid, key: m.where(F.col("side").bitwiseAND(F.lit(bit)) > 0).select(F.col("cid").alias(cid), F.col("key").alias(key))
     x = on(1, "cid", "left").join(small(links), "cid").join(on(2, "other", "right"), "other")
     return x.where(F.col("left") != F.col("right")).select("left", "right", "similarity", "containment")
+
+
+def class_links(m: DataFrame, links: DataFrame) -> DataFrame:
+    """Links between classes with the least key and the number of records on each side: `cid`, `eval_key`, `n_eval`, `train_key`, `n_train` and the columns of links.
+
+    m: `cid`, `key`, `side` distinct; links: `cid` (held out), `other` (training). No pair of
+    records is formed. A class is not linked to itself by one record that is on both sides.
+    """
+    def of(bit, cid, key, n):
+        return m.where(F.col("side").bitwiseAND(F.lit(bit)) > 0).groupBy(F.col("cid").alias(cid)).agg(F.min("key").alias(key), F.count_distinct("key").alias(n))
+
+    x = links.join(of(1, "cid", "eval_key", "n_eval"), "cid").join(of(2, "other", "train_key", "n_train"), "other")
+    same = (F.col("cid") == F.col("other")) & (F.col("n_eval") == 1) & (F.col("n_train") == 1) & (F.col("eval_key") == F.col("train_key"))
+    return x.where(~same)
