@@ -98,44 +98,84 @@ def tables() -> tuple[dict[str, str], np.ndarray]:
     return mapping, flags
 
 
+@lru_cache(maxsize=1)
+def clusters() -> dict[str, str]:
+    """Clusters of several characters that become a single one, compiled by rule and checked.
+
+    Every composed character is there in all its partly composed forms, and with its marks in
+    either order where that is the same text; Hangul syllables from two or three parts.
+    """
+    compose = lambda x: unicodedata.normalize("NFC", x)
+    split = {c: d for c in map(chr, [*range(0xC0, 0xAC00), *range(0xF900, 0x20000), *range(0x2F800, 0x2FA20)]) if len(d := unicodedata.normalize("NFD", c)) > 1}
+    composed = {c: d for c, d in split.items() if compose(c) == c}
+    marks = sorted({m for d in composed.values() for m in d[1:]})
+    out: dict[str, str] = {}
+
+    def put(key: str, value: str) -> None:
+        if out.setdefault(key, value) != value:
+            raise ValueError(f"two outputs for {key!r}")
+
+    for c, d in composed.items():
+        put(d, c)
+        for m in marks:
+            for key in (c + m, d + m, d[0] + m + d[1:]):
+                if len(value := compose(key)) == 1:
+                    put(key, value)
+    for base in {d[0] for d in composed.values()}:
+        for m in marks:
+            if len(value := compose(base + m)) == 1:
+                put(base + m, value)
+    for lead in range(19):
+        for vowel in range(21):
+            syllable = 0xAC00 + (lead * 21 + vowel) * 28
+            put(chr(0x1100 + lead) + chr(0x1161 + vowel), chr(syllable))
+            for tail in range(1, 28):
+                put(chr(0x1100 + lead) + chr(0x1161 + vowel) + chr(0x11A7 + tail), chr(syllable + tail))
+                put(chr(syllable) + chr(0x11A7 + tail), chr(syllable + tail))
+    mapping, _ = tables()
+    for key, value in out.items():
+        if value in mapping or any(c in mapping for c in key) or unicodedata.normalize("NFD", key) != unicodedata.normalize("NFD", value):
+            raise ValueError(f"{key!r} doesn't agree with the single characters")
+    return out
+
+
 class Transducer:
     """Longest-match transducer; `dots` also maps middle dots to the one of law names."""
 
+    CLUSTER = regex.compile(r"\X")
+    WORD = regex.compile(r"(?:[\p{L}--[\p{Hangul}\p{Han}\p{Hiragana}\p{Katakana}\p{Bopomofo}]]\p{M}*)+", regex.V1)
+
     def __init__(self, dots: bool = False, memo_size: int = 200_000):
-        self.mapping, self.flags = tables()
-        self.dots = dots
+        mapping, self.flags = tables()
         self.mask = ACTIVE | (DOT if dots else 0)
-        gone = "".join(regex.escape(c) for c, v in self.mapping.items() if v == "" and ord(c) < 0xE0000)
-        extend = rf"[\p{{M}}{gone}\U000E0000-\U000E01EF]*"
-        self.token = regex.compile(
-            rf"(?:[\p{{L}}--[\p{{Hangul}}\p{{Han}}\p{{Hiragana}}\p{{Katakana}}\p{{Bopomofo}}]]{extend})+"
-            rf"|(?:[\p{{Hangul}}]{extend})+|.{extend}",
-            regex.DOTALL | regex.V1,
-        )
+        self.single = str.maketrans(mapping | (dict.fromkeys(MIDDLE_DOTS, LAW_DOT) if dots else {}))
+        self.clusters = clusters()
         self.memo: dict[str, str] = {}
         self.memo_size = memo_size
 
-    def _word(self, s: str) -> str:
-        if any(c in LOOK_ALIKES for c in s):
-            letters = [c for c in s if c.isalpha()]
-            if all(c in LOOK_ALIKES or "LATIN" in unicodedata.name(c, "") for c in letters):
-                s = unicodedata.normalize("NFC", "".join(LOOK_ALIKES.get(c, c) for c in s))
+    def _cluster(self, m) -> str:
+        c = m.group()
+        known = self.clusters.get(c)
+        return known if known is not None else unicodedata.normalize("NFC", c)
+
+    @staticmethod
+    def _word(m) -> str:
+        s = m.group()
+        if any(c in LOOK_ALIKES for c in s) and all(c in LOOK_ALIKES or "LATIN" in unicodedata.name(c, "") for c in s if c.isalpha()):
+            s = unicodedata.normalize("NFC", "".join(LOOK_ALIKES.get(c, c) for c in s))
         return s
 
-    def _emit(self, m) -> str:
-        get = self.mapping.get
-        s = "".join(get(c, c) for c in m.group())
-        if self.dots:
-            s = "".join(LAW_DOT if c in MIDDLE_DOTS else c for c in s)
-        return self._word(unicodedata.normalize("NFC", s))
+    def _transduce(self, s: str) -> str:
+        s = self.CLUSTER.sub(self._cluster, s.translate(self.single))
+        return self.WORD.sub(self._word, s)
 
     def _walk(self, text: str) -> str:
-        """Stretches between ordinary blanks are transduced once and remembered; no token holds such a blank."""
+        """Stretches between ordinary blanks are transduced once and remembered; no cluster or word holds such a blank."""
         out, memo = [], self.memo
         for t in text.split(" "):
             o = memo.get(t)
             if o is None:
-                o = t if t.isascii() and t.isprintable() else self.token.sub(self._emit, t)
+                o = t if t.isascii() and t.isprintable() else self._transduce(t)
                 if len(memo) >= self.memo_size:
                     memo.clear()
                 if len(t) < 64:

@@ -1,6 +1,17 @@
 """DuckDB SQL of this subpackage's queries where SQL can express them."""
 
-from lexloom.llm.forms import HYPHENS, LOOK_ALIKES, MIDDLE_DOTS
+# Written apart from the operator's own tables, so that an error in one of them shows.
+# Pairs of a Greek or Cyrillic letter, by its code point, and the Latin letter of the same look.
+LOOK_ALIKES = {
+    chr(int(x[:-1], 16)): x[-1]
+    for x in (
+        "391A 392B 395E 396Z 397H 399I 39AK 39CM 39DN 39FO 3A1P 3A4T 3A5Y 3A7X 3BFo 3F2c 3F9C 3F3j "
+        "410A 412B 415E 405S 406I 408J 41AK 41CM 41DH 41EO 420P 421C 422T 425X 4AEY 430a 435e 43Eo 440p 441c 443y 445x 455s 456i 458j 4BBh 501d 51Bq 51Dw 51AQ 51CW 4CFl"
+    ).split()
+}
+# Hyphens that look like "-", and dots that look like the middle dot of law names.
+HYPHENS = "\\x{2010}\\x{2011}\\x{FE63}\\x{FF0D}"
+MIDDLE_DOTS = "\\x{B7}\\x{387}\\x{2022}\\x{2027}\\x{2219}\\x{22C5}\\x{30FB}\\x{FF65}\\x{119E}"
 
 # The bare form as far as the documents' texts need it: invisible characters out, composition, full-width forms.
 WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))

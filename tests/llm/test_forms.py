@@ -4,7 +4,10 @@ import unicodedata
 import numpy as np
 import pytest
 
-from lexloom.llm.forms import HYPHENS, LAW_DOT, LOOK_ALIKES, MIDDLE_DOTS, bare, bare_codes, consistent, tables, transducer
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from lexloom.llm.forms import HYPHENS, LAW_DOT, LOOK_ALIKES, MIDDLE_DOTS, bare, bare_codes, clusters, consistent, tables, transducer
 
 CASES = [
     (None, None), ("", ""), ("plain ascii", "plain ascii"), ("한글 그대로", "한글 그대로"),
@@ -53,3 +56,22 @@ def test_bare():
 def test_very_long_text():
     t = "가 " * 200_000
     assert consistent(t) == "가 " * 200_000 and len(bare(t)) == 200_000 and isinstance(bare_codes([t])[0], np.ndarray)
+
+
+def test_clusters_are_compiled_and_agree_with_the_rule():
+    table = clusters()
+    assert len(table) > 22_000
+    for key, value in table.items():
+        assert len(value) == 1 and unicodedata.normalize("NFC", key) == value and consistent(key) in (value, LOOK_ALIKES.get(value, value))
+    for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00), 0xAC01, 0xD7A3, 0x304C]):
+        d = unicodedata.normalize("NFD", c)
+        assert len(d) == 1 or table[d] == c
+    assert consistent("ệ") == consistent("ệ") == consistent("ệ") == "ệ"  # marks in any order
+    assert consistent("가́") == "가́"  # a mark that doesn't combine stays
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("가각aeoАое̣́̂​ Ａé·ᾴ"), max_size=12))
+def test_form_is_composed_and_stable(text):
+    got = consistent(text)
+    assert unicodedata.is_normalized("NFC", got) and consistent(got) == got and "​" not in got
