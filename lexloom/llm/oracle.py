@@ -120,3 +120,19 @@ SQL["p5_report"] = f"""with m as ({SQL["p5_members"]}),
     gs2 as (select group_id as doc_key, min(split) as gs from splits group by group_id)
     select field, kind, case when field = 'question' then qs else gs end as split, source, count(*) as n_eval, cast(sum(n_train) as bigint) as n_links
     from (select *, regexp_extract(eval_key, '^(.+)#\\d+(\\|q\\d+)?$', 1) as doc_key from m) left join so using (doc_key) left join qo2 using (eval_key) left join gs2 using (doc_key) group by 1, 2, 3, 4"""
+SQL["p3_checks"] = f"select field, row_key, true as within, true as whole_text, true as overlapping, true as natural from ({SQL['p3_found']})"
+SQL["p2_groups"] = f"""with recursive pairs as ({SQL["p2_found"]}), e as (select qid_a as a, qid_b as b from pairs union select qid_b, qid_a from pairs),
+    r as (select qid, qid as g from (select distinct qid from queries_raw where qid is not null) union select e.b, r.g from r join e on e.a = r.qid),
+    t as (select qid, any_value(question) as text from queries_raw where qid is not null group by qid),
+    n as (select qid, coalesce(length({BARE}), 0) >= 3 as has from t)
+    select r.qid, case when any_value(has) then min(g) end as group_id, (select count(*) from e where e.a = r.qid) as n_links from r join n using (qid) group by r.qid"""
+SQL["p8_spans"] = SQL["p8_found"].replace("select doc_id, substr(t, k, 40) as s from b", "select doc_id, k, substr(t, k, 40) as s from b").replace(
+    "select distinct doc_id, item_id from x join w using (s)",
+    """select doc_id, item_id, cast(min(k) - 1 as int) as start, cast(max(k) + 39 as int) as "end" from (select *, sum(new) over (partition by doc_id, item_id order by k) as island from
+        (select *, case when k - lag(k) over (partition by doc_id, item_id order by k) <= 40 then 0 else 1 end as new from (select distinct doc_id, item_id, k from x join w using (s)))) group by doc_id, item_id, island""",
+)
+SQL["p9_spans"] = SQL["p9_found"].replace(
+    "select doc_id, cast(sum(case when before is null then 200 else least(200, k - before) end) as bigint) as shared_chars from s group by doc_id",
+    """select doc_id, cast(sum(n) as bigint) as shared_chars, count(*) as n_spans, max(n) as longest from (select doc_id, max(k) + 200 - min(k) as n from
+        (select *, sum(case when k - before <= 200 then 0 else 1 end) over (partition by doc_id order by k) as island from s) group by doc_id, island) group by doc_id""",
+)

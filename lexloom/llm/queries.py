@@ -15,7 +15,7 @@ from lexloom.llm.questions import HELD_OUT, TRAIN, document_of, group_splits, sp
 from lexloom.llm.repeats import shared_spans
 from lexloom.llm.segment import oversized
 from lexloom.llm.stratify import grouped_split
-from lexloom.runtime import materialize, ship, table
+from lexloom.runtime import materialize, ship, spread_join, table
 
 THRESHOLD = 0.8
 PROPORTIONS = {"train": 0.8, "val": 0.1, "test": 0.1}
@@ -37,23 +37,21 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Each question once, with its group (connected by links; named by its least class) and its number of linked questions.
+    """Each question once, with its group (connected by links; named by its least qid) and its number of linked questions.
 
     Questions without any piece have a null group and no link.
     """
     prep = _questions(spark, d)
     pairs = simjoin.similar_classes(prep, THRESHOLD)
     m = materialize(prep.select("key", "cid").distinct(), "members")
-    size = m.where("cid is not null").groupBy("cid").agg(F.count("*").alias("size"))
-    links = pairs.select("cid_a", "cid_b").unionByName(pairs.select(F.col("cid_b").alias("cid_a"), F.col("cid_a").alias("cid_b")))
-    other = links.join(size.withColumnRenamed("cid", "cid_b"), "cid_b").groupBy(F.col("cid_a").alias("cid")).agg(F.sum("size").alias("others"))
+    size = m.where("cid is not null").groupBy("cid").agg(F.count("*").alias("size"), F.min("key").alias("least"))
+    other = simjoin.both_ways(pairs).join(size.select(F.col("cid").alias("other"), "size"), "other").groupBy("cid").agg(F.sum("size").alias("others"))
     comp = components(pairs.select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"))).withColumnRenamed("node", "cid")
-    cls = size.join(other, "cid", "left").join(comp, "cid", "left").select(
-        "cid",
-        F.lower(F.hex(F.coalesce("component", "cid"))).alias("group_id"),
-        (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"),
-    )
-    return m.join(cls, "cid", "left").select(F.col("key").alias("qid"), "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    cls = materialize(size.join(other, "cid", "left").join(comp, "cid", "left").withColumn("component", F.coalesce("component", "cid")), "classes")
+    name = cls.groupBy("component").agg(F.min("least").alias("group_id"))
+    cls = cls.join(name, "component").select("cid", "group_id", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.col("size").alias("n"))
+    out = spread_join(m.where("cid is not null"), materialize(cls, "named-classes"), ["cid"], "n").select(F.col("key").alias("qid"), "group_id", "n_links")
+    return out.unionByName(m.where("cid is null").select(F.col("key").alias("qid"), F.lit(None).cast("string").alias("group_id"), F.lit(0).cast("bigint").alias("n_links")))
 
 
 # 3: oversized values
@@ -72,6 +70,35 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _oversized(spark, d, True).distinct()
 
 
+def p3_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Check of the pieces of each value: in order and within the limit, together the whole text, repeating 1 to 120 characters, and ending where a sentence, line or word does.
+
+    An end inside a word is allowed only where what the piece adds holds no blank at which to end.
+    """
+    docs = table(spark, d, "documents").select("doc_id", "holding", "summary")
+    chunks = table(spark, d, "chunks").where(F.char_length("text") > 1000).select(F.lit("chunks.text").alias("field"), F.col("chunk_id").alias("row_key"), F.col("text").alias("whole"))
+    whole = chunks.distinct()
+    for c in ("holding", "summary"):
+        whole = whole.unionByName(docs.where(F.char_length(c) > 1000).select(F.lit(f"documents.{c}").alias("field"), F.col("doc_id").cast("string").alias("row_key"), F.col(c).alias("whole")))
+    p = p3_pieces(spark, d)
+    g = p.groupBy("field", "row_key").agg(F.array_sort(F.collect_list(F.struct("piece", "start", "end", "text"))).alias("p"))
+    x = whole.join(g, ["field", "row_key"])
+    n = F.size("p")
+    pairs = F.transform(F.slice("p", F.lit(2), F.greatest(n - 1, F.lit(0))), lambda q, i: F.struct(q["start"].alias("s"), F.col("p")[i]["end"].alias("e"), F.col("p")[i]["start"].alias("s0")))
+    text_at = lambda q: F.col("whole").substr(q["start"] + 1, q["end"] - q["start"]) == q["text"]
+    # what a piece adds to the one before
+    fresh = lambda q, i: F.col("whole").substr(F.when(i > 0, F.col("p")[i - 1]["end"]).otherwise(0) + 1, q["end"] - F.when(i > 0, F.col("p")[i - 1]["end"]).otherwise(0))
+    ends_well = lambda q: F.substring(q["text"], -1, 1).rlike(r"[\s.?!。？！…\"'”’」』)\]]") | F.col("whole").substr(q["end"] + 1, F.lit(1)).rlike(r"\s")
+    natural = F.transform("p", lambda q, i: (q["piece"] == n) | ends_well(q) | ~fresh(q, i).rlike(r"\S\s+\S"))
+    return x.select(
+        "field", "row_key",
+        (F.forall("p", lambda q: F.char_length(q["text"]) <= 1000) & (F.col("p.piece") == F.sequence(F.lit(1), n))).alias("within"),
+        (F.forall("p", text_at) & (F.col("p")[0]["start"] == 0) & (F.col("p")[n - 1]["end"] == F.char_length("whole"))).alias("whole_text"),
+        F.forall(pairs, lambda q: (q["e"] - q["s"] >= 1) & (q["e"] - q["s"] <= 120) & (q["s"] > q["s0"])).alias("overlapping"),
+        F.forall(natural, lambda ok: ok).alias("natural"),
+    )
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """The values that had to be cut."""
     return _oversized(spark, d, False).where("piece = 2").select("field", "row_key").distinct()
@@ -287,7 +314,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p2_found, p2_groups, p3_found, p3_pieces, p4_found, p4_forms, p5_found, p5_overlaps, p5_members, p5_report,
+        p2_found, p2_groups, p3_found, p3_pieces, p3_checks, p4_found, p4_forms, p5_found, p5_overlaps, p5_members, p5_report,
         p6_found, p6_assign, p6_shares, p7_ids, p8_found, p8_spans, p9_found, p9_spans,
     )
 }
