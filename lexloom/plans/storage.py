@@ -15,7 +15,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.operators import pairs, providers
+from lexloom.operators import asking, pairs, providers
 from lexloom.plans.lawfiles import front
 from lexloom.plans.pairs import questions
 from lexloom.runtime import shared_dir, table
@@ -415,3 +415,48 @@ def judged_batches(s, d):
 
     providers.run_batches(todo, 10, ask, log.extend, 100)  # the limit is the feature: a run of bounded cost
     return s.createDataFrame([(r["qid"], r["verdict"], r["place"]) for r in log], "qid string, verdict string, place long")
+
+
+def offline_chain(answer) -> providers.Chain:
+    """A chain of one provider without a network, on a clock that doesn't wait."""
+    clock = Clock()
+    return providers.Chain({"x": providers.offline(answer)}, ["x:m"], clock=clock, sleep=clock.sleep)
+
+
+def _numbers(prompt: str) -> list[int]:
+    return [int(line[3:]) for line in prompt.split("\n") if line.startswith("## ") and line[3:].isdecimal()]
+
+
+@query(
+    """with c as (select chunk_id, row_number() over (order by chunk_id) as k from (select distinct chunk_id from chunks where text is not null)),
+    q as (select chunk_id, unnest([0, 1]) as i from c where k <= 50)
+    select chunk_id || '|q' || i as qid, case i when 0 then '첫째 질문' else '둘째' end as question, chunk_id, 'm-offline' as model from q"""
+)
+def generated_questions(s, d):
+    """Questions for the next fifty passages: requests with numbered items, checked answers, at most two questions each, a log of results."""
+    todo = table(s, d, "chunks").where("text is not null").groupBy("chunk_id").agg(F.min("text").alias("text")).orderBy("chunk_id")
+    answer = lambda prompt, seed: {"results": [{"id": i, "questions": [" 첫째 질문", "", "둘째 ", "셋째"]} for i in reversed(_numbers(prompt))]}
+    log: list[dict] = []
+    asking.generate(todo, offline_chain(answer), log.extend, limit=50)  # the limit is the feature: a run of bounded cost
+    return s.createDataFrame([(r["qid"], r["question"], r["chunk_id"], r["model"]) for r in log], "qid string, question string, chunk_id string, model string")
+
+
+@query(
+    """with q as (select qid, any_value(question) as question, row_number() over (order by qid) as k from queries_raw where question is not null group by qid)
+    select qid, case (k - 1) % 10 when 0 then 'no' else 'yes' end as verdict, 'm-offline' as model from q where k <= 40 and (k - 1) % 10 <> 7"""
+)
+def judged_pairs(s, d):
+    """Verdicts on the next forty pairs; a wrong verdict fails the whole answer, and an item without one stays undone."""
+    q = table(s, d, "queries_raw").where("question is not null").groupBy("qid").agg(F.min("question").alias("question"), F.lit("-").alias("text")).orderBy("qid")
+    calls: list[int] = []
+
+    def answer(prompt, seed):
+        calls.append(1)
+        bad = "maybe" if len(calls) == 1 else "yes"
+        return {"results": [{"id": i, "verdict": "no" if i == 0 else bad, "reason": ""} for i in _numbers(prompt) if i != 7] + [{"id": 77, "verdict": "no", "reason": ""}]}
+
+    log: list[dict] = []
+    asking.judge(q, offline_chain(answer), log.extend, limit=40)
+    if len(calls) != 5:
+        raise AssertionError("the bad answer was not asked again once")
+    return s.createDataFrame([(r["qid"], r["verdict"], r["model"]) for r in log], "qid string, verdict string, model string")
