@@ -33,6 +33,8 @@ def local_session(cpus: int | str = 8, app: str = "lexloom", shuffle: int = 8) -
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One table of a folder. The package is sent to the workers first, since any query may run its functions there."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
