@@ -19,21 +19,25 @@ def components(links: DataFrame) -> DataFrame:
     """
     e = links.where("a is not null and b is not null and a <> b").select("a", "b")
     e = materialize(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    degree = materialize(e.groupBy("b").agg(F.count("*").alias("n")), "degrees")
-    lab = materialize(e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), "labels")
-    while True:
-        near = spread_join(e, materialize(lab.withColumnRenamed("node", "b").join(degree, "b"), "labels"), ["b"], "n").select(F.col("a").alias("node"), "component")
-        both = near.unionByName(lab)
-        new = both.groupBy("node").agg(F.min("component").alias("component"))
+    # each node with its number of links, which tells where labels have to be spread
+    own = F.least("node", "m").alias("component")
+    lab = materialize(e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"), F.count("*").alias("n")).select("node", own, "n"), "labels")
+    none = F.lit(None).cast("bigint").alias("n")
+    while e.limit(1).count():
+        far = lab.select(F.col("node").alias("b"), "component", "n")
+        far._lexloom_path = lab._lexloom_path
+        near = spread_join(e, far, ["b"], "n").select(F.col("a").alias("node"), "component", none)
+        least = [F.min("component").alias("component"), F.max("n").alias("n")]
+        new = near.unionByName(lab).groupBy("node").agg(*least)
         # hooking: the old label learns the new one
-        old = lab.withColumnRenamed("component", "old").join(new, "node")
-        hook = old.select(F.col("old").alias("node"), "component")
-        new = new.unionByName(hook).groupBy("node").agg(F.min("component").alias("component"))
+        hook = lab.select("node", F.col("component").alias("old")).join(new, "node").select(F.col("old").alias("node"), "component", none)
+        new = new.unionByName(hook).groupBy("node").agg(*least)
         # jumping
         up = new.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        new = new.join(up, "component", "left").select("node", F.coalesce(F.least("component", "up"), "component").alias("component"))
+        new = new.join(up, "component", "left").select("node", F.coalesce(F.least("component", "up"), "component").alias("component"), "n")
         new = materialize(new, "labels")
-        changed = new.join(lab.withColumnRenamed("component", "before"), "node").where("component <> before").limit(1).count()
+        changed = new.join(lab.select("node", F.col("component").alias("before")), "node").where("component <> before").limit(1).count()
         lab = new
         if not changed:
-            return lab
+            break
+    return lab.select("node", "component")
