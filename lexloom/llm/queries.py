@@ -200,10 +200,10 @@ def p5_members(spark: SparkSession, d: str) -> DataFrame:
     out = None
     for field, rows in (("question", _sides_questions(spark, d)), ("chunk_text", _sides_chunks(spark, d))):
         for kind, m, links in _overlap_links(rows):
-            per = simjoin.class_links(m, links).groupBy("cid").agg(F.sum("n_train").alias("n_train"))
+            per = simjoin.class_links(m, links).groupBy("cid").agg(F.sum("n_train").alias("n_train"), F.max("n_eval").alias("n_eval"))
             per = materialize(per, "linked-classes")
             held = m.where(F.col("side").bitwiseAND(F.lit(HELD_OUT)) > 0).select("cid", "key")
-            x = held.join(per, "cid").select(F.lit(field).alias("field"), F.lit(kind).alias("kind"), F.col("key").alias("eval_key"), "n_train")
+            x = spread_join(held, per, ["cid"], "n_eval").select(F.lit(field).alias("field"), F.lit(kind).alias("kind"), F.col("key").alias("eval_key"), "n_train")
             out = x if out is None else out.unionByName(x)
     return out
 

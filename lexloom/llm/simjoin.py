@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm.forms import bare_codes, stretches
-from lexloom.runtime import materialize, ship, small, spread_join
+from lexloom.runtime import fits, materialize, ship, small, spread_join
 
 SLOTS = 1 << 20
 MAX_WIDTH = 12
@@ -413,7 +413,12 @@ def similar_classes(prep: DataFrame, t: float = 0.8, two_sided: bool = False, bu
     cand = materialize(sig.groupBy("bucket").applyInArrow(kernel, "id_a bigint, id_b bigint").distinct(), "candidates")
     ids = cand.select(F.explode(F.array("id_a", "id_b")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
     ids = materialize(ids, "candidate-ids")
-    rep = materialize(prep.where("bare is not null").select("cid", "bare", "id").join(small(ids), "id").groupBy("cid").agg(F.min("bare").alias("bare"), F.max("id").alias("id"), F.max("n").alias("n")), "candidate-texts")
+    named = prep.where("bare is not null").select("cid", "bare", "id")
+    if fits(ids):
+        named = named.join(F.broadcast(ids), "id")
+    else:  # copies are gone before the texts meet the candidates
+        named = named.groupBy("cid").agg(F.min("bare").alias("bare"), F.max("id").alias("id")).join(ids, "id")
+    rep = materialize(named.groupBy("cid").agg(F.min("bare").alias("bare"), F.max("id").alias("id"), F.max("n").alias("n")), "candidate-texts")
     pairs = cand
     for x in "ab":
         side = rep.select(F.col("id").alias(f"id_{x}"), F.col("cid").alias(f"cid_{x}"), F.col("bare").alias(f"bare_{x}"), "n")
