@@ -262,18 +262,30 @@ def val_ir_metrics(s, d):
     return rounded(R.ir_metrics(dense_ranks(s, d)))
 
 
-@query(
-    f"""with {DENSE_RANKS()}, atr as (select row_number() over (order by query_id) - 1 as pos, case when rank <= 10 then 1.0 else 0 end::double as hit, case when rank <= 10 then 1 / rank else 0 end::double as mrr from ranks),
+def boot_sql(half: bool = False) -> str:
+    return f"""with {DENSE_RANKS(half)}, atr as (select row_number() over (order by query_id) - 1 as pos, case when rank <= 10 then 1.0 else 0 end::double as hit, case when rank <= 10 then 1 / rank else 0 end::double as mrr from ranks),
     nn as (select count(*) as n from atr),
     pk as (select dr, ('0x' || substr(md5('42|' || dr || '|' || sl), 1, 8))::bigint % n as pos from range(1000) a(dr), nn, lateral (select unnest(range(n)) as sl) b),
     pe as (select dr, avg(hit) as hit, avg(mrr) as mrr from pk join atr using (pos) group by dr)
     select 'recall_10' as metric, round((select avg(hit) from atr), 6) as value, round(quantile_cont(hit, 0.025), 6) as lo, round(quantile_cont(hit, 0.975), 6) as hi from pe
     union all select 'mrr_10', round((select avg(mrr) from atr), 6), round(quantile_cont(mrr, 0.025), 6), round(quantile_cont(mrr, 0.975), 6) from pe"""
-)
+
+
+@query(boot_sql())
 def bootstrap_ci(s, d):
     return rounded(R.bootstrap(materialize(dense_ranks(s, d), "ranks")))
 
 
+@query(f"select 'dense_full' as system, * from ({boot_sql()}) union all select 'dense_half', * from ({boot_sql(True)})")
+def metric_bars(s, d):
+    """Bars of a chart of systems: each metric with its bounds."""
+    out = None
+    for name, half in (("dense_full", False), ("dense_half", True)):
+        x = rounded(R.bootstrap(materialize(dense_ranks(s, d, half), "ranks"))).select(F.lit(name).alias("system"), "*")
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
 FUSED = f"""{dense_sql()}, d2 as (select a.vec_id as q, b.vec_id as dd, round(list_inner_product(cast(a.embedding[1:32] as double[]), cast(b.embedding[1:32] as double[])), 6) as score from embeddings a, embeddings b where a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
     l1 as (select q, dd, row_number() over (partition by q order by score desc, dd) - 1 as p from ds), l2 as (select q, dd, row_number() over (partition by q order by score desc, dd) - 1 as p from d2),
     fu as (select q, dd, round(sum(1.0 / (60 + p + 1)), 6) as score from (select * from l1 union all select * from l2) group by q, dd)"""
