@@ -13,9 +13,11 @@ search only for the candidates that are left:
    and a parity sketch of its whole set. A list longer than `hot` is divided into
    blocks, and its record sent to each pair of blocks, so that no task gets a whole
    hot list. Copies of one text are sent once per task.
-3. A bucket merges its lists; partners outside the possible sizes, and partners whose
-   sketches differ in more bits than the similarity allows, are left out. Both bounds
-   are exact: no similar pair is lost.
+3. A bucket merges its lists. The place of a piece among the record's own, rare ones first,
+   bounds the size of a partner whose first common piece it is; partners out of either
+   one's reach, and partners whose sketches differ in more bits than the similarity allows,
+   are left out. All bounds are exact: no similar pair is lost. Short lists are paired
+   entry by entry, long ones in tiles of all against all.
 4. The candidates' full piece sets are probed (binary search of the sorted pieces of
    the one in those of the other), and pairs with the required overlap are kept.
 
@@ -26,6 +28,7 @@ similar to nothing. Copies in bare form share a class; pairs are between classes
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +42,12 @@ from lexloom.runtime import fits, materialize, ship, small, spread_join
 SLOTS = 1 << 20
 MAX_WIDTH = 12
 CHUNK = 1 << 19
+#: Pairs of a list from which it is merged in tiles, and rows and columns of a tile, and how many ranges of reach are apart.
+DENSE, TILE, GRADES = 1 << 17, (32, 512), 2
 #: Bytes of packed postings in a bucket.
 BUCKET_BYTES = 64 << 20
+#: Bytes of packed postings that are shuffled at a time, or half as many again as the texts have.
+ROUND_BYTES = 1 << 30
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -91,7 +98,7 @@ def slot_counts(texts: DataFrame) -> np.ndarray:
     return out
 
 
-SIGNATURE = "bucket bigint, ids binary, n binary, side binary, sketch binary, lens binary, keys binary"
+SIGNATURE = "bucket bigint, ids binary, n binary, side binary, sketch binary, lens binary, keys binary, places binary"
 
 
 def _width(n: np.ndarray) -> np.ndarray:
@@ -101,12 +108,14 @@ def _width(n: np.ndarray) -> np.ndarray:
 
 
 def _narrow(x: np.ndarray) -> bytes:
-    """Numbers in two bytes each if all fit, else in four; `_widened` tells by the length."""
-    return x.astype(np.uint16 if not len(x) or x.max() < 1 << 16 else np.uint32).tobytes()
+    """Numbers in one byte each if all fit, else in two, else in four; `_widened` tells by the length."""
+    top = x.max(initial=0)
+    return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32).tobytes()
 
 
 def _widened(rows: list[bytes], counts: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.frombuffer(r, np.uint16 if len(r) == 2 * c else np.uint32).astype(np.int64) for r, c in zip(rows, counts)])
+    kinds = {1: np.uint8, 2: np.uint16, 4: np.uint32}
+    return np.concatenate([np.frombuffer(r, kinds[len(r) // max(c, 1)] if c else np.uint8).astype(np.int64) for r, c in zip(rows, counts)])
 
 
 def rarity(counts: np.ndarray) -> np.ndarray:
@@ -134,8 +143,8 @@ def places_of(key: np.ndarray, often: np.ndarray, ids: np.ndarray, buckets: int,
     return at, np.where(n == 1, k % buckets, spread)
 
 
-def _signatures(counts_bc, t: float, buckets: int, hot: int):
-    """For each bucket, the texts of a block that go there, as packed arrays in one row.
+def _signatures(counts_bc, t: float, buckets: int, hot: int, rounds: int = 1, now: int = 0):
+    """For each bucket of one round, the texts of a block that go there, as packed arrays in one row.
 
     Pieces are sorted as packed 64-bit keys: number of the text, rarity of the slot, rest of the
     hash. A text's set is known by 54 bits of its pieces' hashes; lists by 32 bits, which can only
@@ -161,29 +170,40 @@ def _signatures(counts_bc, t: float, buckets: int, hot: int):
         slot = ((u >> np.uint64(34)) & np.uint64(SLOTS - 1)).astype(np.int64)
         u = np.sort((doc.astype(np.uint64) << np.uint64(54)) | (rank[slot].astype(np.uint64) << np.uint64(34)) | (u & low))
         start = np.concatenate([[0], np.cumsum(n)[:-1]])
-        short = np.arange(len(u)) - start[doc] < (n - np.ceil(t * n - 1e-9).astype(np.int64) + 1)[doc]
-        doc, u = doc[short], u[short]
+        nth = np.arange(len(u)) - start[doc]
+        short = nth < (n - np.ceil(t * n - 1e-9).astype(np.int64) + 1)[doc]
+        doc, u, nth = doc[short], u[short], nth[short]
         key = ((u & low) >> np.uint64(2)).astype(np.uint32)
         often = counts[slot_at[((u >> np.uint64(34)) & np.uint64(SLOTS - 1)).astype(np.int64)]]
         ids = np.frombuffer(b"".join([c[:8] for c in cids]), np.uint64)
         of, at = places_of(key, often, ids[doc], buckets, hot)
-        who, keys = doc[of], key[of]
-        o = np.lexsort((who, at))
-        at, who, keys = at[o], who[o], keys[o]
+        if rounds > 1:
+            mine = at % rounds == now
+            of, at = of[mine], at[mine]
+        if not len(at):
+            return None
+        o = np.lexsort((doc[of], at))
+        of, at = of[o], at[o]
+        who, keys, nth = doc[of], key[of], nth[of]
         begin = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (who[1:] != who[:-1])]))
         lens = np.diff(np.append(begin, len(at)))
         rec, home = who[begin], at[begin]
         first = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1]]))
-        out = {k: [] for k in ("bucket", "ids", "n", "side", "sketch", "lens", "keys")}
+        out = {k: [] for k in ("bucket", "ids", "n", "side", "sketch", "lens", "keys", "places")}
+        size = np.diff(place)[rec]
+        till = np.concatenate([[0], np.cumsum(size)])
+        words = sketch[np.repeat(place[rec] - till[:-1], size) + np.arange(till[-1])]
+        ids_, n_, side_, begin = ids[rec], n[rec], sides[rec].astype(np.uint8), np.append(begin, len(keys))
+        nth = np.minimum(nth, 255).astype(np.uint8)  # a lower place only lets more pairs through
         for x, y in zip(first, np.append(first[1:], len(home))):
-            r = rec[x:y]
             out["bucket"].append(int(home[x]))
-            out["ids"].append(ids[r].tobytes())
-            out["n"].append(_narrow(n[r]))
-            out["side"].append(sides[r].astype(np.uint8).tobytes())
-            out["sketch"].append(b"".join([sketch[place[i] : place[i + 1]].tobytes() for i in r]))
+            out["ids"].append(ids_[x:y].tobytes())
+            out["n"].append(_narrow(n_[x:y]))
+            out["side"].append(side_[x:y].tobytes())
+            out["sketch"].append(words[till[x] : till[y]].tobytes())
             out["lens"].append(_narrow(lens[x:y]))
-            out["keys"].append(keys[begin[x] : begin[y] if y < len(begin) else len(keys)].tobytes())
+            out["keys"].append(keys[begin[x] : begin[y]].tobytes())
+            out["places"].append(nth[begin[x] : begin[y]].tobytes())
         cols = [pa.array(v, pa.int64() if k == "bucket" else pa.binary()) for k, v in out.items()]
         return pa.RecordBatch.from_arrays(cols, list(out))
 
@@ -248,38 +268,117 @@ class Sketches:
         return ok
 
 
-def merge_lists(key, rec_l, rec_r, n, sketches, t: float, same: bool):
-    """Pairs of records that share a short list and may be similar; key: the lists of each side's entries."""
-    kl, kr = key
-    comp_l = (kl.astype(np.uint64) << np.uint64(32)) | n[rec_l].astype(np.uint64)
-    comp_r = (kr.astype(np.uint64) << np.uint64(32)) | n[rec_r].astype(np.uint64)
-    ol, orr = np.argsort(comp_l, kind="stable"), np.argsort(comp_r, kind="stable")
-    comp_l, rec_l = comp_l[ol], rec_l[ol].astype(np.int32)
-    comp_r, rec_r = comp_r[orr], rec_r[orr].astype(np.int32)
-    base = comp_l & np.uint64(0xFFFFFFFF00000000)
-    nl = n[rec_l]
-    top = np.minimum(np.floor(nl / t + 1e-9), 2**32 - 1).astype(np.uint64)
-    hi = np.searchsorted(comp_r, base | top, side="right")
-    if same:
-        lo = np.arange(1, len(comp_l) + 1)
-    else:
-        lo = np.searchsorted(comp_r, base | np.ceil(t * nl - 1e-9).astype(np.uint64), side="left")
-    # the pairs of left entry i are i with lo[i] ... hi[i]; taken in steps of CHUNK pairs, across and within lists
-    total = np.concatenate([[0], np.cumsum(np.maximum(hi - lo, 0))])
-    slack = n * ((1 - t) / (1 + t)) + 5e-10
-    found = []
+class Lists:
+    """Entries of one side by list and size, each record once a list, with the size of the largest partner that each can have.
+
+    A pair shares nothing before its first common piece. With n pieces, p of them before that one, a
+    record then has at most n - p in common with a partner of m, and n - p >= t / (1 + t) * (n + m).
+    """
+
+    def __init__(self, key, rec, place, n, t: float):
+        by_size = np.argsort(n, kind="stable")
+        rank = np.empty(len(n), np.uint64)
+        rank[by_size] = np.arange(len(n), dtype=np.uint64)
+        at = (key.astype(np.uint64) << np.uint64(32)) | rank[rec]
+        o = np.argsort(at)
+        at = at[o]
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(o) else np.empty(0, np.int64)
+        at = at[first]
+        self.rec = by_size[(at & np.uint64(0xFFFFFFFF)).astype(np.int64)].astype(np.int32)
+        self.n = n[self.rec]
+        p = np.minimum.reduceat(place[o], first) if len(o) else place
+        self.reach = np.floor((1 + t) / t * (self.n - p) - self.n + 1e-6).astype(np.int64)
+        self.base = at & np.uint64(0xFFFFFFFF00000000)
+        self.at = self.base | self.n.astype(np.uint64)
+
+    def leading(self) -> "Lists":
+        """The entries that can have a partner of their own size or more."""
+        out, on = object.__new__(Lists), self.reach >= self.n
+        for k, v in vars(self).items():
+            setattr(out, k, v[on])
+        return out
+
+
+def _by_entries(a: Lists, b: Lists, lo, width, at, sketches, slack):
+    """Candidates of the entries `at` of a with the entries of b that are in their ranges, in steps of CHUNK pairs, across and within lists."""
+    total = np.concatenate([[0], np.cumsum(width[at])])
     for begin in range(0, int(total[-1]), CHUNK):
         end = min(begin + CHUNK, int(total[-1]))
         i = int(np.searchsorted(total, begin, side="right")) - 1
         j = int(np.searchsorted(total, end, side="left"))
         c = np.minimum(total[i + 1 : j + 1], end) - np.maximum(total[i:j], begin)
-        a = np.repeat(np.arange(i, j, dtype=np.int32), c)
-        b = np.arange(begin, end) + np.repeat(lo[i:j] - total[i:j], c)
-        x, y = rec_l[a], rec_r[b]
+        y = np.arange(begin, end) + np.repeat(lo[at[i:j]] - total[i:j], c)
+        ok = np.flatnonzero(b.reach[y] >= np.repeat(a.n[at[i:j]], c))
+        x, y = np.repeat(a.rec[at[i:j]], c)[ok], b.rec[y[ok]]
         near = sketches.near(x, y, slack[x] + slack[y]) & (x != y)
-        if near.any():
-            x, y = x[near].astype(np.int64), y[near].astype(np.int64)
+        yield x[near].astype(np.int64), y[near].astype(np.int64)
+
+
+def _by_tiles(a: Lists, b: Lists, ours: slice, theirs: slice, sketches, t: float, slack):
+    """Candidates of one list. The entries of a are taken by width of their sketch and by how far they reach, and in tiles by size.
+
+    A tile is compared by as many words of the sketches as tell most pairs apart, what is left by all of them.
+    """
+    xa, na, ra, xb, nb, rb = a.rec[ours], a.n[ours], a.reach[ours], b.rec[theirs], b.n[theirs], b.reach[theirs]
+    grade = sketches.width[xa] * GRADES + np.minimum(((ra - na) * (GRADES * t / (1 - t)) / na).astype(np.int64), GRADES - 1)
+    xor, ones = np.empty(TILE, np.uint64), np.empty(TILE, np.uint8)
+    for g in np.unique(grade):
+        w, of = int(g) // GRADES, np.flatnonzero(grade == g)
+        rows = min(TILE[0], max(8, len(of) // 8))
+        begin = np.arange(0, len(of), rows)
+        from_, to = np.searchsorted(nb, na[of[begin]]), np.searchsorted(nb, np.maximum.reduceat(ra[of], begin), side="right")
+        first, row = int(from_[0]), sketches.row[w]
+        his, mine = sketches.tables[w][:, row[xb[first : int(to.max())]]], sketches.tables[w][:, row[xa[of]]]
+        for i, lo, hi in zip(begin.tolist(), from_.tolist(), to.tolist()):
+            k = of[i : i + rows]
+            for j in range(lo, hi, TILE[1]):
+                end = min(j + TILE[1], hi)
+                cap = int(slack[xa[k[-1]]] + slack[xb[end - 1]])
+                some = min(len(his), int((1.5 + math.sqrt(2.25 + 2 * cap)) ** 2 / 64) + 1)  # half the bits less three standard deviations are over the cap
+                c, d = xor[: len(k), : end - j], ones[: len(k), : end - j]
+                ham = np.zeros(c.shape, np.uint8 if some < 4 else np.uint16)
+                for q in range(some):
+                    np.bitwise_xor(mine[q, i : i + rows, None], his[q, j - first : end - first], out=c)
+                    ham += np.bitwise_count(c, out=d)
+                if ham.min() > cap:
+                    continue
+                at = np.flatnonzero(ham <= cap)
+                u, v = k[at // (end - j)], j + at % (end - j)
+                ok = (nb[v] >= na[u]) & (nb[v] <= ra[u]) & (rb[v] >= na[u]) & (xa[u] != xb[v])
+                x, y = xa[u[ok]], xb[v[ok]]
+                far = np.bitwise_count(sketches.tables[w][:, row[x]] ^ sketches.tables[w][:, row[y]]).sum(axis=0, dtype=np.int64)
+                ok = far <= slack[x] + slack[y]
+                yield x[ok].astype(np.int64), y[ok].astype(np.int64)
+
+
+def merge_lists(key, rec_l, rec_r, n, sketches, t: float, same: bool, place=None):
+    """Pairs of records that share a short list and may be similar; key: the lists of each side's entries, place: how many pieces of its record come before each."""
+    kl, kr = key
+    pl, pr = place if place is not None else (np.zeros(len(kl), np.int64), np.zeros(len(kr), np.int64))
+    left = Lists(kl, rec_l, pl, n, t)
+    right = left if same else Lists(kr, rec_r, pr, n, t)
+    slack = n * ((1 - t) / (1 + t)) + 5e-10
+    found = []
+
+    def keep(x, y):
+        if len(x):
             found.append(np.unique(np.minimum(x, y) * len(n) + np.maximum(x, y)))
+
+    # the smaller of a pair leads, and its partners are a range of sizes
+    for a, b in ((left, right),) if same else ((left, right), (right, left)):
+        a = a.leading()
+        lo, hi = np.searchsorted(b.at, a.at), np.searchsorted(b.at, a.base | a.reach.astype(np.uint64), side="right")
+        width = np.maximum(hi - lo, 0)
+        begin = np.flatnonzero(np.concatenate([[True], a.base[1:] != a.base[:-1]])) if len(width) else np.empty(0, np.int64)
+        end = np.append(begin[1:], len(width))
+        # in a tile, sketches are at most one fold apart
+        dense = (np.add.reduceat(width, begin) >= DENSE) & (t >= 0.5) if len(width) else np.empty(0, bool)
+        for x, y in _by_entries(a, b, lo, width, np.flatnonzero(np.repeat(~dense, end - begin)), sketches, slack):
+            keep(x, y)
+        for i, j in zip(begin[dense], end[dense]):
+            theirs = slice(np.searchsorted(b.base, a.base[i]), np.searchsorted(b.base, a.base[i], side="right"))
+            for x, y in _by_tiles(a, b, slice(i, j), theirs, sketches, t, slack):
+                keep(x, y)
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     p = np.unique(np.concatenate(found))
@@ -307,13 +406,12 @@ def _bucket_kernel(t: float, two_sided: bool):
         n = n_all[first]
         sketches = Sketches(n, words, place[first])
         rec, sd = np.repeat(inv, size), np.repeat(side, size)
+        nth = col("places", np.uint8).astype(np.int64)
         if two_sided:
             l, r = (sd & 1) > 0, (sd & 2) > 0
-            a, b = merge_lists((keys[l], keys[r]), rec[l], rec[r], n, sketches, t, False)
+            a, b = merge_lists((keys[l], keys[r]), rec[l], rec[r], n, sketches, t, False, (nth[l], nth[r]))
         else:
-            u = np.unique((keys.astype(np.int64) << 32) | rec)
-            k, rc = (u >> 32).astype(np.uint32), u & 0xFFFFFFFF
-            a, b = merge_lists((k, k), rc, rc, n, sketches, t, True)
+            a, b = merge_lists((keys, keys), rec, rec, n, sketches, t, True, (nth, nth))
         x, y = ids[first][a], ids[first][b]
         return pa.table([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], schema=schema)
 
@@ -389,7 +487,7 @@ def _verify(t: float):
     return run
 
 
-def similar_classes(prep: DataFrame, t: float = 0.8, two_sided: bool = False, buckets: int | None = None, hot: int = 50_000) -> DataFrame:
+def similar_classes(prep: DataFrame, t: float = 0.8, two_sided: bool = False, buckets: int | None = None, hot: int = 50_000, rounds: int | None = None) -> DataFrame:
     """Pairs of classes (`cid_a` < `cid_b`) of different bare forms with a similarity of at least t.
 
     prep: from `prepare`; side is 1 for the left, 2 for the right, 3 for both; with
@@ -400,17 +498,26 @@ def similar_classes(prep: DataFrame, t: float = 0.8, two_sided: bool = False, bu
     spark = prep.sparkSession
     texts = prep.where("bare is not null").select("bare", "side", "cid")
     counts = slot_counts(texts.select("bare"))
+    m, size = texts.agg(F.count("*"), F.sum(F.octet_length("bare"))).first()
+    total = int(counts.sum())
+    mean = total / max(1, m)
     if buckets is None:
         # the postings of the short lists, each sent with name, size and sketch of its text; no more buckets than needed, as texts that
         # go to a bucket for several pieces go there once
-        total = int(counts.sum())
-        mean = total / max(1, texts.count())
         sent = int(total * (1 - t) * 1.1) * (17 + mean / 1.7 / 8)
         buckets = max(8, math.ceil(sent / BUCKET_BYTES))
+    if rounds is None:
+        # what a text sends grows with the buckets; the buckets are filled in rounds, so that what is shuffled at a time doesn't
+        keys = mean * (1 - t) + 1
+        homes = buckets * (1 - (1 - 1 / buckets) ** keys)
+        rounds = math.ceil(m * (homes * (12 + 1.5 * mean / 1.7 / 8) + 5 * keys) / max(ROUND_BYTES, 1.5 * (size or 0))) or 1
     bc = spark.sparkContext.broadcast(counts)
-    sig = texts.mapInArrow(_signatures(bc, t, buckets, hot), SIGNATURE)
     kernel = _bucket_kernel(t, two_sided)
-    cand = materialize(sig.groupBy("bucket").applyInArrow(kernel, "id_a bigint, id_b bigint").distinct(), "candidates")
+    parts = []
+    for now in range(rounds):
+        sig = texts.mapInArrow(_signatures(bc, t, buckets, hot, rounds, now), SIGNATURE)
+        parts.append(materialize(sig.groupBy("bucket").applyInArrow(kernel, "id_a bigint, id_b bigint").distinct(), "candidates"))
+    cand = parts[0] if rounds == 1 else materialize(reduce(DataFrame.unionByName, parts).distinct(), "candidates")
     ids = cand.select(F.explode(F.array("id_a", "id_b")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
     ids = materialize(ids, "candidate-ids")
     named = prep.where("bare is not null").select("cid", "bare", "id")

@@ -115,6 +115,74 @@ def test_long_list_goes_in_steps(monkeypatch):
     assert len(a) == n * (n - 1) // 2
 
 
+def test_far_pieces_do_not_meet():
+    """A first common piece that stands too far back in either record makes no pair, in steps and in tiles."""
+    n, key = np.full(100, 100), np.zeros(100, np.uint32)
+    rec, place = np.arange(100), np.arange(100) % 20  # of 100 pieces 89 are shared, so that up to 11 may come before
+    sketches = J.Sketches(n, np.zeros(100, np.uint64), np.arange(100))
+    for dense in (1, 1 << 60):
+        J_dense, J.DENSE = J.DENSE, dense
+        try:
+            a, b = J.merge_lists((key, key), rec, rec, n, sketches, 0.8, True, (place, place))
+        finally:
+            J.DENSE = J_dense
+        assert len(a) == 60 * 59 // 2 and place[a].max() == place[b].max() == 11
+
+
+@pytest.mark.parametrize("two", [False, True])
+@pytest.mark.parametrize("dense", [1, 1 << 60])
+def test_lists_of_all_sizes(two, dense, monkeypatch):
+    """Every similar pair is a candidate, whatever the width of its sketches, and few others are."""
+    monkeypatch.setattr(J, "DENSE", dense)
+    monkeypatch.setattr(J, "TILE", (4, 8))
+    r = random.Random(5)
+    alphabet = "".join(chr(0xAC00 + 7 * i) for i in range(40))
+    texts = []
+    for size in (8, 60, 105, 112, 215, 222, 430, 441, 900, 1500):
+        for _ in range(3):
+            base = [r.choice(alphabet) for _ in range(size)]
+            texts.append("".join(base))
+            for cut in (0.01, 0.03, 0.06, 0.1, 0.2):
+                s = list(base)
+                for _ in range(max(1, int(cut * size / 3))):
+                    k = r.randrange(len(s))
+                    s[k : k + r.randint(0, 2)] = r.choice(alphabet)
+                texts += ["".join(s), "".join(base[: int(size * (1 - cut))])]
+    texts = sorted({t for t in texts if len(t) >= 3})
+    side = np.array([r.choice([1, 2, 3]) for _ in texts], np.int32)
+    names = [J.xxhash.xxh3_128_digest(t) for t in texts]
+    rows = J.pa.RecordBatch.from_arrays([J.pa.array(texts), J.pa.array(side), J.pa.array(names, J.pa.binary())], ["bare", "side", "cid"])
+    counts = np.zeros(J.SLOTS, np.int64)
+    for b in J._count_slots([rows]):
+        counts[b.column(0).to_numpy()] = b.column(1).to_numpy()
+    got = set()
+    for now in range(3):
+        sig = J.pa.Table.from_batches(list(J._signatures(type("bc", (), {"value": counts}), 0.8, 5, 50_000, 3, now)([rows])))
+        for k in set(sig["bucket"].to_pylist()):
+            assert k % 3 == now
+            tab = J._bucket_kernel(0.8, two)(sig.filter(J.pa.array([x == k for x in sig["bucket"].to_pylist()])))
+            got |= set(zip(tab["id_a"].to_pylist(), tab["id_b"].to_pylist()))
+    ids, pieces = [int.from_bytes(x[:8], "little", signed=True) for x in names], [sets(t) for t in texts]
+    want = set()
+    for i in range(len(texts)):
+        for j in range(i):
+            cross = side[i] & 1 and side[j] & 2 or side[i] & 2 and side[j] & 1
+            if (cross or not two) and len(pieces[i] & pieces[j]) >= 0.8 * len(pieces[i] | pieces[j]) - 1e-9:
+                want.add((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    assert len(want) > 100 and want <= got and len(got) < 3 * len(want)
+
+
+def test_rounds(spark, monkeypatch):
+    """Buckets that are filled in rounds give the same pairs, each once."""
+    monkeypatch.setattr(J, "ROUND_BYTES", 1)
+    rows = make(200, 11)
+    prep = J.prepare(spark.createDataFrame(rows, "key string, text string, side int"))
+    for rounds in (3, None):
+        classes = J.similar_classes(prep, 0.8, True, buckets=97, rounds=rounds)
+        got = [tuple(sorted(r[:2])) for r in J.cross_pairs(prep, classes).collect()]
+        assert len(got) == len(set(got)) and set(got) == brute(rows, True)
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, r.randint(100, 130)) for _ in range(20)] + [(7, 7), (None, 3)]

@@ -1,5 +1,9 @@
 """Size checks and the join that spreads hot keys."""
 
+import time
+
+from pyspark.sql import functions as F
+
 from lexloom import runtime as R
 
 
@@ -18,3 +22,14 @@ def test_spread_join(spark, monkeypatch):
     assert set(got.columns) == {"k", "v", "n2", "n"}
     assert sorted(map(tuple, got.select("k", "v", "n").collect())) == sorted(map(tuple, left.join(right, "k").select("k", "v", "n").collect()))
     assert R.spread_join(left, right, ["k"], "n", 10_000).count() == got.count()
+
+
+def test_what_a_stage_shuffled_is_deleted(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    kept = spark.conf.get(R.SHUFFLE_CLEANUP)
+    before = files.getAllFiles().size()
+    df = R.materialize(spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).count(), "test")
+    until = time.time() + 20
+    while files.getAllFiles().size() > before and time.time() < until:
+        time.sleep(0.1)
+    assert files.getAllFiles().size() <= before and df.count() == 100 and spark.conf.get(R.SHUFFLE_CLEANUP) == kept
