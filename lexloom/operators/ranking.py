@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.positions import positions
 from lexloom.functions.text import seeded
+from lexloom.operators.best import OUT_ROWS, TOP_CELLS, Best, Rough, dots, few, matrix
+from lexloom.runtime import ship
 
 #: Bytes of query vectors held by a task at a time.
 QUERY_BYTES = 32 << 20
@@ -20,47 +22,72 @@ def dot(a, b):
 
 
 def dense_scores(queries: DataFrame, corpus: DataFrame, k: int | None = None, digits: int = 6) -> DataFrame:
-    """query_id, doc_id, score by dot product: of all documents, or of the best k of each batch, which hold the best k of all.
+    """query_id, doc_id, score by dot product: of all documents, or of some that hold the best k of all.
 
-    The corpus streams by in batches past blocks of queries of a bounded size, as one matrix
-    product each. The queries come to the driver in blocks of QUERY_BYTES, never all at once.
-    Rows without an id or a vector are left out.
+    The corpus streams by in batches past blocks of queries of a bounded size, as matrix
+    products. The queries come to the driver in blocks of QUERY_BYTES, never all at once.
+    With k, a task holds the best k scores of each query so far and gives only documents that
+    reach them. Rows without an id or a vector are left out.
     """
     spark = corpus.sparkSession
+    ship(spark)
     queries, corpus = queries.where("vector is not null and query_id is not null"), corpus.where("vector is not null and doc_id is not null")
     first = queries.agg(F.max(F.size("vector")).alias("d"), F.count("*").alias("n")).first()
     schema = "query_id bigint, doc_id bigint, score double"
     out = spark.createDataFrame([], schema)
-    blocks = max(1, -(-first["n"] * (first["d"] or 0) * 8 // QUERY_BYTES))
+    blocks = max(1, -(-first["n"] * (first["d"] or 0) * 8 // QUERY_BYTES), -(-first["n"] * (k or 0) // TOP_CELLS))
     for part in range(blocks if first["n"] else 0):
         q = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == part) if blocks > 1 else queries
         got = q.select("query_id", "vector").toArrow()
-        bc = spark.sparkContext.broadcast((got["query_id"].to_numpy(), np.array(got["vector"].to_pylist(), np.float64)))
+        if not len(got):
+            continue
+        bc = spark.sparkContext.broadcast((got["query_id"].to_numpy(), matrix(got["vector"])))
 
-        def run(batches, bc=bc):
+        def full(batches, bc=bc):
             qid, mat = bc.value
+            for b in batches:
+                step = max(1, OUT_ROWS // len(qid))
+                for lo in range(0, b.num_rows, step):
+                    ids, vec = b.column(0)[lo : lo + step].to_numpy(), matrix(b.column(1)[lo : lo + step])
+                    s = np.round(mat @ vec.T, digits)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, len(ids))), pa.array(np.tile(ids, len(qid))), pa.array(s.ravel())], ["query_id", "doc_id", "score"])
+
+        def top(batches, bc=bc):
+            qid, mat = bc.value
+            rough, best, near = Rough(mat), Best(len(qid), k), 1.1 * 10.0**-digits
             for b in batches:
                 if not b.num_rows:
                     continue
-                ids = b.column(0).to_numpy()
-                vec = np.array(b.column(1).to_pylist(), np.float64)
-                s = np.round(mat @ vec.T, digits)
+                ids, vec = b.column(0).to_numpy(), matrix(b.column(1))
                 order = np.argsort(ids, kind="stable")
-                best = order[np.argsort(-s[:, order], axis=1, kind="stable")[:, :k]] if k else np.broadcast_to(order, s.shape)
-                rows = np.repeat(np.arange(len(qid)), best.shape[1])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(qid[rows]), pa.array(ids[best.ravel()]), pa.array(s[rows, best.ravel()])], ["query_id", "doc_id", "score"]
-                )
-
-        x = corpus.select("doc_id", "vector").mapInArrow(run, schema)
-        out = out.unionByName(x) if part else x
+                ids, rows, docs, vals, held = ids[order], [], [], [], 0
+                for x, y, v, s, slack in rough.products(vec[order]):
+                    for i, row in enumerate(s):
+                        q, e = x + i, 2 * slack[i] + near
+                        at = np.flatnonzero(row >= float(best.least[q] - e)) if best.least[q] > -np.inf else np.arange(len(row))
+                        if len(at) > 2 * k:  # only those that can be among the best of this tile
+                            some = row[at]
+                            at = at[some >= float(np.partition(some, len(at) - k)[len(at) - k] - e)]
+                        at, score = best.add(q, at, np.round(dots(mat[np.full(len(at), q)], v[at]), digits))
+                        rows.append(np.full(len(at), q))
+                        docs.append(y + at)
+                        vals.append(score)
+                        held += len(at)
+                        if held >= OUT_ROWS:
+                            yield pa.RecordBatch.from_arrays([pa.array(qid[np.concatenate(rows)]), pa.array(ids[np.concatenate(docs)]), pa.array(np.concatenate(vals))], ["query_id", "doc_id", "score"])
+                            rows, docs, vals, held = [], [], [], 0
+                if held:
+                    yield pa.RecordBatch.from_arrays([pa.array(qid[np.concatenate(rows)]), pa.array(ids[np.concatenate(docs)]), pa.array(np.concatenate(vals))], ["query_id", "doc_id", "score"])
+
+        x = few(corpus.select("doc_id", "vector")).mapInArrow(top, schema) if k else corpus.select("doc_id", "vector").mapInArrow(full, schema)
+        out = out.unionByName(x)
     return out
 
 
 def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6, keep=None) -> DataFrame:
     """Best k of the corpus for each query by dot product, ties by id. queries: `query_id`, `vector`; corpus: `doc_id`, `vector`.
 
-    Every task sends only its own best k of each query to the final window.
+    A task sends few more than its own best k of each query to the final window.
     """
     out = dense_scores(queries, corpus, k, digits)
     if keep is not None:
